@@ -5,21 +5,40 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import token_count
+from tidemark.llm import language_id, sentencepiece_bpe, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    """The fold of a document: crc32 of its id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those whose fold is not 0."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, _fold(5) != 0, [F.col("doc_id"), (_fold(5) == 0).alias("held_out")])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE tokens of every document."""
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sentencepiece": op6_sentencepiece,
+    "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
 }
 
