@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, sentencepiece_bpe, token_count
+from tidemark.llm import language_id, sentencepiece_bpe, token_count, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,35 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: Rules of the URL query, and the names whose hosts are on its list of canonical URLs under each ending.
+URL_RULES = ["block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/"]
+LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_URLS = [f"{name}.example.{ending}/" for name in LISTED_NAMES for ending in ("com", "net", "org")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    listed = url_filter.listing(spark, URL_RULES, [("block", key) for key in LISTED_URLS])
+    return url_filter.judge(_table(spark, sf_dir, "pages"), listed)
+
+
+_RULE_ROWS = ", ".join("('{}', '{}', '{}')".format(*rule.split(" ")[1].split("/", 1), rule.split(" ")[0]) for rule in URL_RULES)
+_LIST_ROWS = ", ".join(f"('{key[:-1]}')" for key in LISTED_URLS)
+URL_SQL = f"""
+WITH rules(host, path, action) AS (SELECT host, '/' || path, action FROM (VALUES {_RULE_ROWS}) AS r(host, path, action)),
+listed(host) AS (VALUES {_LIST_ROWS}),
+cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, row_number() OVER () AS n,
+  coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+fits AS (SELECT p.n, r.host || r.path AS rule, r.action, row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC) AS k
+  FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)),
+hits AS (SELECT DISTINCT p.n FROM parts p JOIN listed l ON (p.host = l.host OR p.host LIKE '%.' || l.host) AND starts_with(p.path, '/'))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, CASE WHEN h.n IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1 LEFT JOIN hits h ON h.n = p.n
+"""
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose fold is not 0."""
     docs = _table(spark, sf_dir, "documents")
@@ -38,8 +67,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_url_filter": op7_url_filter,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": URL_SQL,
+}
