@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, quality_rules, sentencepiece_bpe, token_count, url_filter
+from tidemark.llm import language_id, mixing, quality_rules, sentencepiece_bpe, token_count, url_filter
+from tidemark.llm.durable import save
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,45 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, probability and draw of every document, for tempered source, language and topic margins."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", mixing.token_weight(F.col("text")).alias("n_tokens"))
+    rows = docs.select("doc_id", "lang", "source", mixing.topic_of(F.coalesce("text", F.lit("")), F.col("n_tokens")).alias("topic"), "n_tokens")
+    return mixing.mix(save(rows, "mix-rows"), MIX_DIMS)
+
+
+MIX_DIMS = ["source", "lang", "topic"]
+MIX_ROUNDS, MIX_POWER = 8, 0.7
+
+
+def mixing_sql() -> str:
+    """The same fit, one common table a margin and round."""
+    steps = [
+        r"rows AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, coalesce(text, '') AS text FROM documents)",
+        "docs AS (SELECT doc_id, lang, source, n_tokens, CASE WHEN contains(text, ' | ') THEN 'table' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'book' END AS topic FROM rows)",
+        "cells AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, topic, sum(n_tokens) AS tokens FROM docs GROUP BY ALL)",
+    ]
+    for d in MIX_DIMS:
+        steps.append(f"raw_{d} AS (SELECT {d}, pow(CAST(sum(tokens) AS DOUBLE), {MIX_POWER}) AS raw FROM cells GROUP BY {d})")
+        steps.append(f"t_{d} AS (SELECT {d}, raw / sum(raw) OVER () AS share FROM raw_{d})")
+    shares = ", ".join(f"t_{d}.share AS s_{d}" for d in MIX_DIMS)
+    joins = " ".join(f"JOIN t_{d} USING ({d})" for d in MIX_DIMS)
+    steps.append(f"f0 AS (SELECT cells.*, {shares}, CAST(tokens AS DOUBLE) AS weight FROM cells {joins})")
+    n = 0
+    for _ in range(MIX_ROUNDS):
+        for d in MIX_DIMS:
+            steps.append(f"f{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight), weight * s_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight FROM f{n})")
+            n += 1
+    steps.append(
+        f"fit AS (SELECT source, lang, topic, round(weight / tokens * (SELECT sum(tokens) FROM f{n}), 9) AS weight,"
+        f" round(weight / tokens / (SELECT max(weight / tokens) FROM f{n}), 9) AS probability FROM f{n})"
+    )
+    return "WITH " + ",\n".join(steps) + """
+SELECT d.doc_id, d.lang, d.source, d.topic, d.n_tokens, f.weight, f.probability,
+  CAST(('0x' || substr(sha256('mix:' || CAST(d.doc_id AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0 < f.probability AS selected
+FROM docs d JOIN fit f ON f.source = coalesce(d.source, '') AND f.lang = coalesce(d.lang, '') AND f.topic = d.topic"""
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.judge(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
@@ -71,6 +111,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filter": op7_url_filter,
@@ -79,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": mixing_sql(),
     "op7_url_filter": URL_SQL,
 }
