@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, mixing, quality_rules, sentencepiece_bpe, token_count, url_filter
+from tidemark.llm import language_id, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
 from tidemark.llm.durable import save
 
 
@@ -65,6 +65,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels whose fold is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, _table(spark, sf_dir, "labels"), _fold(3) != 1)
+    return quality_model.score(docs, model, [F.col("doc_id"), (_fold(3) == 1).alias("held_out")])
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -113,6 +120,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op5_quality_model": op5_quality_model,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filter": op7_url_filter,
     "op9_language": op9_language,
