@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
+from tidemark.llm import fingerprint, language_id, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
 from tidemark.llm.durable import save
 
 
@@ -21,6 +21,11 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text edited with the next document's."""
+    return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, probability and draw of every document, for tempered source, language and topic margins."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", mixing.token_weight(F.col("text")).alias("n_tokens"))
@@ -118,6 +123,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_quality_model": op5_quality_model,
