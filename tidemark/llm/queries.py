@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, language_id, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
+from tidemark.llm import fingerprint, language_id, lm_score, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
 from tidemark.llm.durable import save
 
 
@@ -70,6 +70,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base score and model score of every document, learned from those whose fold is not 1."""
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = lm_score.train(docs, _fold(5) != 1)
+    return lm_score.score(docs, model, counts, [F.col("doc_id"), (_fold(5) == 1).alias("held_out")])
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels whose fold is not 1."""
     docs = _table(spark, sf_dir, "documents")
@@ -126,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_score": op4_lm_score,
     "op5_quality_model": op5_quality_model,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filter": op7_url_filter,
