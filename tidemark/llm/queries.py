@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprint, language_id, lm_score, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
+from tidemark.llm import fingerprint, jaccard_join, language_id, lm_score, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
 from tidemark.llm.durable import save
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; Python workers are told where the driver found this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -118,6 +121,11 @@ FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1 LEFT JOIN hits h ON h.n =
 """
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose four-word shingles agree to 85 per cent."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose fold is not 0."""
     docs = _table(spark, sf_dir, "documents")
@@ -137,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_model": op5_quality_model,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_url_filter": op7_url_filter,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_language": op9_language,
     "op10_token_counts": op10_token_counts,
 }
