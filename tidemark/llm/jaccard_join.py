@@ -283,3 +283,16 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     out = known.join(smallest, "node", "left")
     alone = (F.col("n") == 0) | F.col("id").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents that link to one with a smaller id; of repeated rows one stays."""
+    found = join(docs, id_col=id_col, text_col=text_col, k=k, percent=percent)
+    losers = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    left = docs.join(losers, id_col, "left_anti").select(docs.columns)
+    repeated = docs.groupBy(id_col).count().where("count > 1").select(id_col)
+    if repeated.isEmpty():
+        return left
+    again = save(repeated, "repeated")
+    same = lambda how: left.join(again, left[id_col].eqNullSafe(again[id_col]), how)
+    return same("left_anti").unionByName(same("left_semi").dropDuplicates())

@@ -114,3 +114,17 @@ def mix(
     on = [F.coalesce(F.col(d), F.lit("")) == F.col(f"__{d}") for d in dims]
     out = docs.join(table, on, "left").drop(*[f"__{d}" for d in dims])
     return out.withColumn("selected", F.coalesce(unit_hash(F.col(id_col), seed), F.lit(0.0)) < F.col("probability"))
+
+
+def drawn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` that are drawn for tempered source, language and topic margins, with their columns."""
+    tokens = token_weight(F.col(text_col))
+    rows = docs.select(
+        F.struct("*").alias("__doc"),
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.col(lang_col).cast("string").alias("lang"),
+        topic_of(F.coalesce(F.col(text_col), F.lit("")), tokens).alias("topic"),
+        tokens.alias("n_tokens"),
+    )
+    return mix(rows, ["source", "lang", "topic"], **how).where("selected").select("__doc.*")

@@ -187,6 +187,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
     return vectors, Network(x, np.array([float(r[2] > 0) for r in got]))
 
 
+def passing(docs: DataFrame, model: tuple[np.ndarray, Network], *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model predicts to have label 1, with their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, network = sent.value
+        for batch in batches:
+            texts = batch.column(0).field(text_col)
+            for a, b, data, off in chunks(texts):
+                good = network.score(pool(data, off, vectors)) >= 0.5
+                yield batch.slice(a, b - a).filter(pa.array(good))
+
+    rows = docs.select(F.struct("*").alias("doc"))
+    return rows.mapInArrow(run, rows.schema).select("doc.*")
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], keep: list[Column], *, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, ``score`` and ``predicted`` of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

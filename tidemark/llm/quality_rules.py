@@ -75,8 +75,9 @@ def _bin(v: Column) -> Column:
 
 def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
     """Mergeable histograms: ``lang``, ``source``, ``metric``, ``bin``, ``n`` of rows that pass the base rules."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).alias("v")) for m, (e, _, _) in METRICS.items()])).alias("x")
-    rows = measured.where("not base_failed").select(F.col(lang).alias("lang"), F.col(source).alias("source"), pairs)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), F.expr(e).alias("v")) for m, (e, _, _) in METRICS.items()])
+    # Failed rows explode to nothing; a filter would be pushed below the counts, which would then be made twice.
+    rows = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(F.when(~F.col("base_failed"), each)).alias("x"))
     return rows.select("lang", "source", "x.metric", _bin(F.col("x.v")).alias("bin")).groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
 
 
@@ -118,16 +119,38 @@ def fences(histograms: DataFrame, *, min_rows: int = 100, spread: float = 3.0) -
     return chosen.groupBy("lang", "source").agg(*limits)
 
 
+def _within() -> Column:
+    """Whether the metrics lie within the fences joined to the row."""
+    fits = F.lit(True)
+    for m, (e, _, _) in METRICS.items():
+        fits = fits & F.coalesce(F.expr(e).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False))
+    return fits
+
+
+def _fenced(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    on = F.col("__lang").eqNullSafe(F.col("lang")) & F.col("__source").eqNullSafe(F.col("source"))
+    return measured.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & _within())
+
+
+def _grouped(kept: Column, lang: str, source: str) -> list[Column]:
+    return [kept.alias("__kept"), F.col(lang).cast("string").alias("__lang"), F.col(source).cast("string").alias("__source")]
+
+
 def judge(docs: DataFrame, keep: list[Column], *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = 100, spread: float = 3.0) -> DataFrame:
     """The columns ``keep``, the counts, ``base_failed`` and ``kept`` of every row.
 
     The fences are one row a (language, source), joined by value; Spark sends them to the workers if they are few and else
     shuffles the narrow counts.
     """
-    measured = save(measure(docs, [F.struct(*keep).alias("__kept"), F.col(lang_col).cast("string").alias("__lang"), F.col(source_col).cast("string").alias("__source")], text_col=text_col), "quality-counts")
+    measured = save(measure(docs, _grouped(F.struct(*keep), lang_col, source_col), text_col=text_col), "quality-counts")
     limits = fences(sketches(measured, "__lang", "__source"), min_rows=min_rows, spread=spread)
-    within = F.lit(True)
-    for m, (e, _, _) in METRICS.items():
-        within = within & F.coalesce(F.expr(e).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False))
-    joined = measured.join(limits, F.col("__lang").eqNullSafe(F.col("lang")) & F.col("__source").eqNullSafe(F.col("source")), "left")
-    return joined.select("__kept.*", *COUNTS, "base_failed", (~F.col("base_failed") & within).alias("kept"))
+    return _fenced(measured, limits).select("__kept.*", *COUNTS, "base_failed", "kept")
+
+
+def passing(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = 100, spread: float = 3.0) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns. Texts are counted twice rather than written or shuffled."""
+    groups = _grouped(F.lit(None).cast("int"), lang_col, source_col)
+    limits = save(fences(sketches(measure(docs, groups, text_col=text_col), "__lang", "__source"), min_rows=min_rows, spread=spread), "quality-fences")
+    measured = measure(docs, _grouped(F.struct("*"), lang_col, source_col), text_col=text_col)
+    lost = F.col("base_failed").cast("int") + (~F.col("kept")).cast("int")  # one sum, so that no part is pushed below the counts
+    return _fenced(measured, limits).where(lost == 0).select("__kept.*")

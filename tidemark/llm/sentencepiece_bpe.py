@@ -236,10 +236,10 @@ def encode_decode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     """Encode every text with begin and end ids and decode the ids again.
 
     ``output='digest'`` returns ``id_col``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``; ``'full'`` returns ``ids``
-    (array) and ``decoded`` (text) instead of the digests. ``model`` is a path that every worker can open.
+    (array) and ``decoded`` (text) instead of the digests, ``'ids'`` the ids and the digests. ``model`` is a path that every worker can open.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rest = "ids_sha256 string, decoded_sha256 string" if output == "digest" else "ids array<int>, decoded string"
+    rest = {"digest": "ids_sha256 string, decoded_sha256 string", "full": "ids array<int>, decoded string", "ids": "ids array<int>, ids_sha256 string, decoded_sha256 string"}[output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
@@ -253,10 +253,13 @@ def encode_decode(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
                 decoded = pieces.decode(full, counts + 2)
                 flat, lo = full.astype("<u4"), end - counts - 2
                 spans = zip(lo.tolist(), end.tolist(), strict=True)
-                if output == "digest":
-                    cols = [pa.array([hashlib.sha256(flat[x:y]).hexdigest() for x, y in spans]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
+                cols = []
+                if output != "digest":
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, end), pa.int32()), pa.array(full, pa.int32())))
+                if output == "full":
+                    cols.append(pa.array([d.decode(errors="replace") for d in decoded], pa.string()))
                 else:
-                    cols = [pa.ListArray.from_arrays(pa.array(np.append(0, end), pa.int32()), pa.array(full, pa.int32())), pa.array([d.decode(errors="replace") for d in decoded], pa.string())]
+                    cols += [pa.array([hashlib.sha256(flat[x:y]).hexdigest() for x, y in spans]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts + 2, pa.int64()), *cols], names=["id", "n_tokens", *(c.split()[0] for c in rest.split(", "))])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
