@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, mixing, quality_model, quality_rules, sentencepiece_bpe
 from tidemark.llm.durable import save
+from tidemark.llm.session import settle
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what a classifier, fitted on labelled documents outside the held-out fold, takes for label 0."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = settle(spark).read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_model.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     return quality_model.passing(docs, model)
 
@@ -30,6 +31,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates (five words, 0.8)."""
+    settle(spark)
     return jaccard_join.one_of_each(docs, k=5, percent=80)
 
 
@@ -40,6 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digests of ids and decoded text."""
+    settle(spark)
     return sentencepiece_bpe.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), output="ids")
 
 
@@ -57,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,10 +7,12 @@ Sets are compared as sets of 64-bit shingle hashes; equal sets are one node. The
    each of which spoils one part, and there are H + 1 parts and some more for those empty in both. A set signs each of its
    parts in its own and the next lower class; nodes with a common signature are candidates. A signature covers about five
    shingles, so a passage that many documents share, but little else, brings them together rarely.
-2. In each signature's bucket all nodes are compared with one pivot, the one with most company. Links make first groups.
-3. Buckets whose other nodes are still in several groups go to token-group matrices: blocks of at most ``BLOCK`` nodes a side
+2. In each signature's bucket all nodes are paired with one pivot, the one with most company. A pair whose common signatures
+   are too few for its sizes cannot be linked; the sets of the others are compared. Links make first groups.
+3. Two other nodes in two groups are a pair like those. Buckets with more that are still in several go to token-group matrices: blocks of at most ``BLOCK`` nodes a side
    hold the union of each group's tokens, the overlap of a node with a union bounds its overlap with every member, and only
-   groups that the bound does not exclude are opened. Only links leave a block; pairs are never rows.
+   groups that the bound does not exclude are opened. Signatures are the tokens of a first matrix, which leaves the few nodes
+   that may link; the shingles of those are the tokens of a second. Only links leave it; pairs are never rows.
 
 No bucket is collected: nodes of one signature stream past in order, and a large bucket is cut into blocks.
 
@@ -33,7 +35,7 @@ from tidemark.llm.graph import components
 from tidemark.llm.textvec import U64, chunks, hashes, mix, shingles, words
 
 BLOCK = 256
-_COLUMNS = 1 << 14
+_COLUMNS = 1 << 13
 #: Sets that a task remembers having signed, so that copies sign once a task.
 _SEEN = 1 << 20
 
@@ -59,7 +61,7 @@ class Classes:
     """Classes of set sizes for a threshold in per cent, and the parts and spare parts of each."""
 
     def __init__(self, percent: int, largest: int) -> None:
-        edges, parts, spare, live = [1], [], [], []
+        edges, parts, spare, live, most = [1], [], [], [], []
         while edges[-1] <= largest:
             edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
             differ = (edges[-1] - 1) * (100 - percent) // percent
@@ -67,12 +69,23 @@ class Classes:
             parts.append(differ + 1 + more)
             spare.append(more)
             live.append(differ > 0)
-        self.edges = np.array(edges)
+            most.append(differ)
+        self.percent, self.edges, self.most = percent, np.array(edges), np.array(most)
         self.parts, self.spare, self.live = np.array(parts), np.array(spare), np.array(live)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.edges, n, side="right") - 1
 
+    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Fewest common signatures of linked sets of sizes ``a`` and ``b``, or more than they can have if sizes rule it out.
+
+        They agree in all parts of the smaller one's class but one for each hash in which they differ, and at most the
+        spare parts are not signed because they are empty.
+        """
+        small, large = np.minimum(a, b), np.maximum(a, b)
+        differ = (a + b) * (100 - self.percent) // (100 + self.percent)
+        return np.where(100 * small < self.percent * large, 1 << 40, 1 + self.most[self.of(small)] - differ)
+
 
 def signatures(h: np.ndarray, n: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of the sets that stand end to end in ``h``, and the row of each."""
@@ -180,76 +193,128 @@ def token_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
-def check_pairs(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` that are linked."""
+def signed_sets(known: DataFrame, shared: DataFrame) -> DataFrame:
+    """``node``, ``n`` and ``sigs``, the signatures that a node shares with others; a node has about n / 2 at most."""
+    sizes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
+    return shared.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(sizes, "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def check_pairs(pairs: DataFrame, signed: DataFrame, tokens: DataFrame, percent: int, largest: int) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` that are linked; their common signatures are counted first."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(percent, largest)
+        for batch in batches:
+            need = classes.least(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            x, y = batch.column(4), batch.column(5)
+            both = [len(set(p) & set(q)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(np.array(both, np.int64) >= need, pa.bool_()))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x, U64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             good = [linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(a, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    one, two = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def open_groups(node: np.ndarray, group: np.ndarray, side: np.ndarray, tokens: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between nodes of different groups in one block, by its token-group matrix.
-
-    ``side`` is 0 for all in a block of its own, and 0 or 1 where two blocks meet; then only links across are sought.
+    def both(of: DataFrame, table: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+        one = table.select(F.col("node").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()])
+        two = table.select(F.col("node").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
+        return of.join(one, "a").join(two, "b").select("a", "b", *[v for xy in columns.values() for v in xy])
+
+    near = save(both(pairs, signed, {"n": ("m", "n"), "sigs": ("x", "y")}).mapInArrow(sift, "a bigint, b bigint"), "near")
+    return both(near, tokens, {"tokens": ("x", "y")}).mapInArrow(verify, "a bigint, b bigint")
+
+
+def overlaps(features: list[np.ndarray], rows: np.ndarray, into: np.ndarray, unions: int) -> np.ndarray:
+    """Sizes of the overlaps of nodes ``rows`` with unions: node i belongs to union ``into[i]``, or to none below 0."""
+    n = len(features)
+    member = np.repeat(np.arange(n), [len(f) for f in features])
+    _, column, held = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
+    common = held[column] > 1  # what one node alone has is no overlap of two
+    column, member = np.unique(column[common], return_inverse=True)[1], member[common]
+    columns = int(column.max()) + 1 if len(column) else 0
+    out = np.zeros((len(rows), unions), np.float32)
+    for lo in range(0, columns, _COLUMNS):
+        part = (column >= lo) & (column < lo + _COLUMNS)
+        own = np.zeros((n, min(_COLUMNS, columns - lo)), np.float32)
+        own[member[part], column[part] - lo] = 1
+        union = np.zeros((unions, own.shape[1]), np.float32)
+        inside = part & (into[member] >= 0)
+        union[into[member[inside]], column[inside] - lo] = 1
+        out += own[rows] @ union.T
+    return out
+
+
+def each_with(features: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the overlaps of nodes ``rows`` with nodes ``columns``."""
+    into = np.full(len(features), -1)
+    into[columns] = np.arange(len(columns))
+    return overlaps(features, rows, into, len(columns))
+
+
+def open_groups(group: np.ndarray, side: np.ndarray, features: list[np.ndarray], need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of different groups in one block that have ``need[i, j]`` features in common, by a token-group matrix.
+
+    Each group's features are united; a node's overlap with the union bounds that with any member, and only groups that the
+    bound does not exclude are opened. ``side`` is 0 for all in a block of its own, and 0 or 1 where two blocks meet; then
+    only pairs across are sought.
     """
-    n = len(node)
-    size = np.array([len(t) for t in tokens], np.int64)
-    member = np.repeat(np.arange(n), size)
-    kinds, token, held = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-    common = held[token] > 1  # tokens of one node bound nothing
-    token, member = np.unique(token[common], return_inverse=True)[1], member[common]
-    columns = int(token.max()) + 1 if len(token) else 0
+    n = len(group)
     groups, of = np.unique(group, return_inverse=True)
-
-    def overlaps(rows: np.ndarray, into: np.ndarray, buckets: int) -> np.ndarray:
-        """Overlap of nodes ``rows`` with unions: node i belongs to union ``into[i]``, or to none below 0."""
-        out = np.zeros((len(rows), buckets), np.float32)
-        for lo in range(0, columns, _COLUMNS):
-            part = (token >= lo) & (token < lo + _COLUMNS)
-            own = np.zeros((n, min(_COLUMNS, columns - lo)), np.float32)
-            own[member[part], token[part] - lo] = 1
-            union = np.zeros((buckets, own.shape[1]), np.float32)
-            inside = part & (into[member] >= 0)
-            union[into[member[inside]], token[inside] - lo] = 1
-            out += own[rows] @ union.T
-        return out
-
-    bound = overlaps(np.arange(n), of, len(groups))
-    opened = (100 * bound >= percent * size[:, None]) & (of[:, None] > np.arange(len(groups))[None, :])
-    query, target = np.flatnonzero(opened.any(axis=1)), np.flatnonzero(opened.any(axis=0))
+    unions = np.arange(len(groups))
+    order = np.argsort(of, kind="stable")
+    least = np.minimum.reduceat(need[:, order], np.searchsorted(of[order], unions), axis=1)
+    opened = (overlaps(features, np.arange(n), of, len(groups)) >= least) & (of[:, None] > unions[None, :])
+    query, inside = np.flatnonzero(opened.any(axis=1)), np.flatnonzero(opened.any(axis=0)[of])
     if not len(query):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.flatnonzero(np.isin(of, target))
-    into = np.full(n, -1)
-    into[inside] = np.arange(len(inside))
-    both = overlaps(query, into, len(inside)).astype(np.int64)
-    good = opened[query][:, of[inside]] & linked(both, size[query][:, None], size[inside][None, :], percent)
+        return query, query
+    good = opened[query][:, of[inside]] & (each_with(features, query, inside) >= need[np.ix_(query, inside)])
     good &= (side[query][:, None] != side[inside][None, :]) | (side.max() == 0)
     x, y = np.nonzero(good)
-    return node[query[x]], node[inside[y]]
+    return query[x], inside[y]
+
+
+def in_blocks(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets ``sig``, ``n`` (its nodes) dealt into pairs of blocks ``x``, ``y`` of about ``BLOCK`` nodes."""
+    spread = buckets.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int"))
+    place = lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"), (F.col("mine") > o).cast("int").alias("side"))
+    return spread.select("sig", "node", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("p")).select("sig", "node", "comp", "p.*")
+
 
+def links_in_buckets(buckets: DataFrame, signed: DataFrame, tokens: DataFrame, percent: int, largest: int) -> DataFrame:
+    """Links between groups inside buckets ``sig``, ``node``, ``comp``, ``n`` (nodes of the bucket), block by block.
 
-def links_in_buckets(buckets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Links between groups inside buckets ``sig``, ``node``, ``comp``, ``n`` (nodes of the bucket), block by block."""
+    A first matrix, of signatures, leaves the nodes that may link at all; only those bring their tokens to a second.
+    """
 
-    def run(table: pa.Table) -> pa.Table:
+    classes = Classes(percent, largest)
+
+    def sift(table: pa.Table) -> pa.Table:
+        group, side, n = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
+        need, own = classes.least(n[:, None], n[None, :]), table.column("sig")[0].as_py()
+        sigs = [np.array(s, np.int64) for s in table.column("sigs").to_pylist()]
+        a, b = open_groups(group, side, sigs, need)
+        # A pair counts in the bucket of its smallest common signature; it was settled if that bucket is not here.
+        if len(a):
+            rows, i = np.unique(a, return_inverse=True)
+            columns, j = np.unique(b, return_inverse=True)
+            first = each_with([x[x < own] for x in sigs], rows, columns)[i, j] == 0
+            a, b = a[first], b[first]
+        keep = np.zeros(len(group), bool)
+        keep[a] = keep[b] = True
+        return table.select(["sig", "x", "y", "node", "comp", "side"]).filter(pa.array(keep))
+
+    def verify(table: pa.Table) -> pa.Table:
         node, group, side = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
-        a, b = open_groups(node, group, side, [np.frombuffer(t, U64) for t in table.column("tokens").to_pylist()], percent)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        sets_ = [np.frombuffer(t, U64) for t in table.column("tokens").to_pylist()]
+        n = np.array([len(t) for t in sets_], np.int64)
+        need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))
+        a, b = open_groups(group, side, sets_, need)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")
-    spread = buckets.withColumn("blocks", count).withColumn("mine", mine)
-    place = lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"), (F.col("mine") > o).cast("int").alias("side"))
-    placed = spread.select("sig", "node", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("p")).select("sig", "node", "comp", "p.*")
-    full = placed.join(tokens, "node")
-    return full.groupBy("sig", "x", "y").applyInArrow(run, "a bigint, b bigint")
+    placed = in_blocks(buckets).join(signed, "node")
+    left = placed.groupBy("sig", "x", "y").applyInArrow(sift, "sig bigint, x int, y int, node bigint, comp bigint, side int")
+    return save(left, "sifted").join(tokens, "node").groupBy("sig", "x", "y").applyInArrow(verify, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -268,11 +333,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     first_of = known.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     tokens = save(token_sets(rows.join(first_of.select("id").distinct(), "id", "left_semi"), k), "tokens")
     pairs = starred.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    near = components(check_pairs(pairs, tokens, percent))
+    signed = save(signed_sets(known, shared), "signed")
+    near = components(check_pairs(pairs, signed, tokens, percent, int(largest)))
     others = starred.where("node <> pivot").join(near, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = others.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    once = mixed.where("lo <> hi").groupBy("n", "who").agg(F.min("sig").alias("sig"))  # buckets of the same nodes count once
-    more = save(links_in_buckets(save(others.join(once.select("sig", "n"), "sig"), "mixed"), tokens, percent), "links")
+    mixed = others.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    mixed = save(mixed.where("lo <> hi"), "mixed")
+    twos = check_pairs(mixed.where("n = 2").select("a", "b").distinct(), signed, tokens, percent, int(largest))
+    once = mixed.where("n > 2").groupBy("n", "who").agg(F.min("sig").alias("sig"))  # buckets of the same nodes count once
+    blocks = links_in_buckets(others.join(once.select("sig", "n"), "sig"), signed, tokens, percent, int(largest))
+    more = save(twos.unionByName(blocks), "links")
     merged = more.join(near.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
     second = components(merged.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     up = second.select(F.col("node").alias("comp"), F.col("comp").alias("top"))

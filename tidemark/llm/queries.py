@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 import corpus_pipeline
 import public_tokenizers
@@ -12,12 +11,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import fingerprint, jaccard_join, language_id, lm_score, mixing, quality_model, quality_rules, sentencepiece_bpe, token_count, url_filter
 from tidemark.llm.durable import save
+from tidemark.llm.session import settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; Python workers are told where the driver found this package."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _fold(n: int) -> Column:
@@ -140,7 +138,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
-    _table(spark, sf_dir, "documents")
     return corpus_pipeline.run(spark, sf_dir)
 
 
