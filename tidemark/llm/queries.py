@@ -72,6 +72,40 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
+def quality_rules_sql(min_rows: int = 100, spread: float = 3.0) -> str:
+    """The same counts and fences; quartiles are read from the histograms by a running sum."""
+    values = {m: e.replace(" div ", " // ") for m, (e, _, _) in quality_rules.METRICS.items()}
+    metrics = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS v FROM measured WHERE NOT base_failed" for m, e in values.items())
+
+    def quartiles(cells: str, keys: str) -> str:
+        on = f"PARTITION BY {keys}metric"
+        running = f"SELECT *, sum(n) OVER ({on} ORDER BY bin) AS run, sum(n) OVER ({on}) AS rows_ FROM {cells}"
+        return f"SELECT {keys}metric, any_value(rows_) AS rows_, min(bin) FILTER (WHERE 4 * run >= rows_) AS q1, min(bin) FILTER (WHERE 4 * run >= 3 * rows_) AS q3 FROM ({running}) GROUP BY ALL"
+
+    pick = lambda q: f"CASE WHEN s.rows_ >= {min_rows} THEN s.{q} WHEN l.rows_ >= {min_rows} THEN l.{q} ELSE w.{q} END AS {q}"
+    tests = []
+    for m, (_, lower, least) in quality_rules.METRICS.items():
+        wide = f"greatest(q3 - q1, {least}) * {spread}"
+        low = f"q1 - {wide}" if lower else "-1.0"
+        tests.append(f"coalesce(({values[m]}) BETWEEN (SELECT {low} FROM fences f WHERE f.metric = '{m}' AND {{same}}) AND (SELECT q3 + {wide} FROM fences f WHERE f.metric = '{m}' AND {{same}}), false)")
+    within = " AND ".join(tests).format(same="f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source")
+    return rf"""WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM texts),
+starts AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM texts WHERE len(ws) >= 3),
+win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM starts),
+spots AS (SELECT DISTINCT doc_id, i + k AS i FROM win, (VALUES (0), (1), (2)) AS o(k) WHERE n >= 2),
+again AS (SELECT doc_id, count(*) AS n FROM spots GROUP BY doc_id),
+counts AS (SELECT l.doc_id, l.lang, l.source, len(ws) AS n_words, length(coalesce(list_aggregate(ws, 'string_agg', ''), '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words FROM lines l LEFT JOIN again a ON a.doc_id = l.doc_id),
+measured AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+vals AS ({metrics}),
+cells AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bin, count(*) AS n FROM vals GROUP BY ALL),
+by_lang AS (SELECT lang, metric, bin, sum(n) AS n FROM cells GROUP BY ALL), whole AS (SELECT metric, bin, sum(n) AS n FROM cells GROUP BY ALL),
+qs AS ({quartiles("cells", "lang, source, ")}), ql AS ({quartiles("by_lang", "lang, ")}), qw AS ({quartiles("whole", "")}),
+fences AS (SELECT s.lang, s.source, s.metric, {pick("q1")}, {pick("q3")} FROM qs s JOIN ql l ON l.lang IS NOT DISTINCT FROM s.lang AND l.metric = s.metric JOIN qw w ON w.metric = s.metric)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {within} AS kept FROM measured c"""
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base score and model score of every document, learned from those whose fold is not 1."""
     docs = _table(spark, sf_dir, "documents")
@@ -157,5 +191,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": mixing_sql(),
+    "op3_quality_rules": quality_rules_sql(),
     "op7_url_filter": URL_SQL,
 }
