@@ -115,7 +115,8 @@ def off_cpu(stacks: DataFrame, k: int = 3000) -> DataFrame:
 def rates(counters: DataFrame, metric: str = "metric", at: str = "seq", value: str = "value") -> DataFrame:
     """Increase since the previous reading (0 after a reset) and its rate per unit of time."""
     w = Window.partitionBy(metric).orderBy(at)
-    grown = F.greatest(F.col(value) - F.lag(value).over(w), F.lit(0))
+    before = F.lag(value).over(w)
+    grown = F.when(before.isNotNull(), F.greatest(F.col(value) - before, F.lit(0)))
     return counters.withColumn("delta", grown).withColumn("rate", F.try_divide(F.col("delta"), F.col(at) - F.lag(at).over(w))).where("delta is not null")
 
 

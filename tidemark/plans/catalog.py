@@ -520,7 +520,7 @@ def tele_off_cpu(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.off_cpu(view(spark, folder, "stacks"))
 
 
-@query("tele_counter_rates", """+ d AS (SELECT metric, seq, greatest(value - lag(value) OVER w, 0) AS delta, seq - lag(seq) OVER w AS dt FROM counters WINDOW w AS (PARTITION BY metric ORDER BY seq))
+@query("tele_counter_rates", """+ d AS (SELECT metric, seq, CASE WHEN lag(value) OVER w IS NOT NULL THEN greatest(value - lag(value) OVER w, 0) END AS delta, seq - lag(seq) OVER w AS dt FROM counters WINDOW w AS (PARTITION BY metric ORDER BY seq))
 SELECT metric, seq, CAST(delta AS BIGINT) AS delta, round(delta / CAST(dt AS DOUBLE), 6) AS rate FROM d WHERE delta IS NOT NULL""", ("counters",))
 def tele_counter_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(telemetry.rates(view(spark, folder, "counters")), "rate").select("metric", "seq", "delta", "rate")
