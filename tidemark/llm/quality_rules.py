@@ -25,10 +25,10 @@ SYMBOLS = r"[#*$%&|<>]"
 PRECISION = 7
 #: Metric, its value from the counts, whether it has a lower fence, and the least distance of quartiles.
 METRICS = {
-    "symbols": ("1000 * n_symbols div n_words", False, 50),
-    "lines": ("1000 * n_dup_lines div n_lines", False, 300),
-    "repeats": ("1000 * n_repeat_words div n_words", False, 100),
-    "width": ("100 * word_chars div n_words", True, 150),
+    "symbols": ("1000 * n_symbols div nullif(n_words, 0)", False, 50),
+    "lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", False, 300),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", False, 100),
+    "width": ("100 * word_chars div nullif(n_words, 0)", True, 150),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
