@@ -6,6 +6,7 @@ Each view is one query that Spark and any SQL engine read alike; ``{name}`` stan
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,7 +38,8 @@ VIEWS = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of the folder."""
+    """One Parquet table of the folder; Python workers of a local session are told where the driver found this package."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
