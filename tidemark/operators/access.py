@@ -95,3 +95,10 @@ def allowed_writes(writes: DataFrame) -> DataFrame:
     kept = rows.withColumn("past", past).where("past is null or past <= unique").select("chunk_id", "seq", "lo", F.col("to").alias("hi"))
     free = writes.where("len > 0 and unique = 0").select("chunk_id", "seq", F.col("off").alias("lo"), (F.col("off") + F.col("len")).alias("hi"))
     return merge_runs(kept.unionByName(free), ["chunk_id", "seq"], "lo", "hi", [])
+
+
+def upsert_acl(rules: DataFrame, updates: DataFrame) -> DataFrame:
+    """ACL rules after updates (``inode``, ``acl_type``, ``qualifier``, ``permissions``, ``seq``): the last of each key, else the old."""
+    key = ["inode", "acl_type", "qualifier"]
+    rows = rules.select(*key, "permissions", F.lit(-1).cast("bigint").alias("seq")).unionByName(updates.select(*key, "permissions", F.col("seq").cast("bigint").alias("seq")))
+    return rows.groupBy(*key).agg(F.max_by("permissions", "seq").alias("permissions"))

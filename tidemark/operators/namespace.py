@@ -114,3 +114,26 @@ def rename_allowed(moves: DataFrame, dentry: DataFrame) -> DataFrame:
         .when((F.col("dst_type") == 1) & F.col("__full"), "not empty").otherwise("ok")
     )
     return moves.join(full, "dst_inode", "left").withColumn("verdict", verdict).drop("__full")
+
+
+def set_xattrs(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``outcome`` of setting attributes (``inode``, ``name``, ``flag``: create, replace or null): insert, update, exists or missing."""
+    there = known.select("inode", "name").distinct().withColumn("__there", F.lit(True))
+    has = F.coalesce("__there", F.lit(False))
+    outcome = F.when(has & (F.col("flag") == "create"), "exists").when(~has & (F.col("flag") == "replace"), "missing").when(has, "update").otherwise("insert")
+    return asked.join(there, ["inode", "name"], "left").withColumn("outcome", outcome).drop("__there")
+
+
+def set_attrs(attrs: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
+    """Attributes with the given columns replaced where a change has a value."""
+    new = changes.select("inode", *[F.col(c).alias(f"__{c}") for c in columns])
+    return attrs.join(new, "inode", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
+def fallocate(asked: DataFrame, attrs: DataFrame, block: int = 4096) -> DataFrame:
+    """``size`` and ``blocks`` (of 512 bytes) after reserving ranges: the largest end, and the aligned span of every call."""
+    div = lambda c: F.call_function("div", c, F.lit(block).cast("bigint"))
+    end = F.col("off") + F.col("len")
+    span = (div(end + (block - 1)) - div(F.col("off"))) * (block // 512)
+    sums = asked.where("len > 0").groupBy("inode").agg(F.max(end).alias("end"), F.sum(span).alias("added"))
+    return attrs.join(sums, "inode", "left").select("inode", F.greatest("size", F.coalesce("end", "size")).alias("size"), F.coalesce("added", F.lit(0)).alias("blocks"))

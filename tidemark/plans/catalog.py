@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import layout, text
+from tidemark.functions import codec, layout, text
 from tidemark.operators import access, activity, extents, fleet, lifecycle, namespace, telemetry, usage
 from tidemark.sources.tables import table, view, with_views
 from tidemark.streaming import feeds
@@ -623,3 +623,59 @@ def fleet_semi_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("fleet_summary", FLEET + " SELECT (SELECT count(*) FROM c) AS classes, (SELECT count(*) FROM v) AS volumes, (SELECT count(*) FROM p) AS claims, (SELECT count(*) FROM p) AS pods, (SELECT count(*) FROM p WHERE k % 5 = 0) AS unhealthy")
 def fleet_summary(spark: SparkSession, folder: str) -> DataFrame:
     return fleet.summary(_objects(spark, folder), "fs.driver", "fsmark")
+
+
+# Codecs and updates
+
+
+@query("delayed_record_codec", "SELECT slice_id, off, len AS size FROM slices", ("slices",))
+def delayed_record_codec(spark: SparkSession, folder: str) -> DataFrame:
+    packed = view(spark, folder, "slices").select(codec.pack(F.col("slice_id"), F.col("off"), F.col("len")).alias("b"))
+    one = packed.select(F.explode(codec.unpack(F.col("b"))).alias("r")).select("r.*")
+    return one.select(*[F.col(c).cast("bigint").alias(c) for c in ("slice_id", "off", "size")])
+
+
+@query("object_keys", "SELECT slice_id, 'slices/' || CAST(slice_id AS VARCHAR) AS object, CAST(slice_id AS VARCHAR) || '/' || CAST(off // 4096 AS VARCHAR) AS block, sha256('slices/' || CAST(slice_id AS VARCHAR)) AS cached FROM slices", ("slices",))
+def object_keys(spark: SparkSession, folder: str) -> DataFrame:
+    key = codec.slice_key(F.col("slice_id"))
+    return view(spark, folder, "slices").select("slice_id", key.alias("object"), codec.block_key(F.col("slice_id"), layout.div(F.col("off"), 4096)).alias("block"), codec.cache_name(key).alias("cached"))
+
+
+@query("ns_set_xattrs", """+ a AS (SELECT event_id % 300 AS inode, CASE WHEN event_id % 2 = 0 THEN 'toxic' ELSE 'colour' END AS name, CASE event_id % 3 WHEN 0 THEN 'create' WHEN 1 THEN 'replace' END AS flag, event_id FROM events)
+SELECT event_id, CASE WHEN k AND flag = 'create' THEN 'exists' WHEN NOT k AND flag = 'replace' THEN 'missing' WHEN k THEN 'update' ELSE 'insert' END AS outcome
+FROM (SELECT a.*, EXISTS (SELECT 1 FROM xattr x WHERE x.inode = a.inode AND x.name = a.name) AS k FROM a)""", ("xattr",))
+def ns_set_xattrs(spark: SparkSession, folder: str) -> DataFrame:
+    e = F.col("event_id")
+    asked = table(spark, folder, "events").select("event_id", (e % 300).alias("inode"), F.when(e % 2 == 0, "toxic").otherwise("colour").alias("name"), F.when(e % 3 == 0, "create").when(e % 3 == 1, "replace").alias("flag"))
+    return namespace.set_xattrs(asked, view(spark, folder, "xattr")).select("event_id", "outcome")
+
+
+@query("ns_set_attrs", "SELECT inode, CASE WHEN inode % 3 = 0 THEN 7 ELSE size END AS size, CASE WHEN inode % 5 = 0 THEN 33279 ELSE mode END AS mode FROM file_attr", ("file_attr",))
+def ns_set_attrs(spark: SparkSession, folder: str) -> DataFrame:
+    attrs = view(spark, folder, "file_attr").select("inode", "size", "mode")
+    changes = attrs.select("inode", F.when(F.col("inode") % 3 == 0, F.lit(7).cast("bigint")).alias("size"), F.when(F.col("inode") % 5 == 0, 33279).alias("mode"))
+    return namespace.set_attrs(attrs, changes, ["size", "mode"])
+
+
+@query("ns_fallocate", "SELECT a.inode, greatest(a.size, coalesce(max(r.off + r.len), a.size)) AS size, CAST(coalesce(sum(((r.off + r.len + 4095) // 4096 - r.off // 4096) * 8), 0) AS BIGINT) AS blocks FROM file_attr a LEFT JOIN reads r ON r.inode + 1000000000 = a.inode GROUP BY a.inode, a.size", ("file_attr", "reads"))
+def ns_fallocate(spark: SparkSession, folder: str) -> DataFrame:
+    asked = view(spark, folder, "reads").withColumn("inode", F.col("inode") + 1000000000)
+    return namespace.fallocate(asked, view(spark, folder, "file_attr").select("inode", "size"))
+
+
+@query("acl_upsert", """WITH r AS (SELECT n_nationkey AS inode, 0 AS acl_type, n_regionkey AS qualifier, 4 AS permissions, -1 AS seq FROM nation UNION ALL SELECT event_id % 40, 0, event_id % 5, CAST(event_id % 8 AS INTEGER), event_id FROM events)
+SELECT inode, acl_type, qualifier, arg_max(permissions, seq) AS permissions FROM r GROUP BY inode, acl_type, qualifier""")
+def acl_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    rules = table(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("inode"), F.lit(0).alias("acl_type"), F.col("n_regionkey").cast("bigint").alias("qualifier"), F.lit(4).alias("permissions"))
+    e = F.col("event_id")
+    updates = table(spark, folder, "events").select((e % 40).alias("inode"), F.lit(0).alias("acl_type"), (e % 5).alias("qualifier"), (e % 8).cast("int").alias("permissions"), e.alias("seq"))
+    return access.upsert_acl(rules, updates)
+
+
+@query("tele_runtimes", """+ m AS (SELECT item || CAST(run AS VARCHAR) AS item, avg(value) FILTER (WHERE metric = 'price') AS wall, avg(value) FILTER (WHERE metric = 'quantity') AS active FROM metrics GROUP BY 1)
+SELECT 'runtime' AS kind, item, 'wall_active_tail_s' AS metric, round(wall - active, 6) AS num, 's' AS unit FROM m UNION ALL SELECT 'runtime', item, 'wall_active_ratio', round(wall / active, 6), 'ratio' FROM m""", ("metrics",))
+def tele_runtimes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = view(spark, folder, "metrics").groupBy(F.concat("item", F.col("run").cast("string")).alias("item"), "metric").agg(F.avg("value").alias("num"))
+    wall = F.col("metric") == "price"
+    named = rows.select(F.when(wall, "summary").otherwise("fio").alias("kind"), "item", F.when(wall, "tool_wall_s").otherwise("active_io_runtime_s").alias("metric"), "num")
+    return _rounded(telemetry.runtimes(named), "num")
