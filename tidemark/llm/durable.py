@@ -6,12 +6,14 @@ cuts the lineage and keeps columns prunable. Only a local session without that s
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_made: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,4 +32,23 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of plans that are saved and forgotten.
+
+    Spark deletes them when the driver happens to collect its garbage, by default every half hour; this asks it to do so now.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this process has saved, once no result that reads them is needed; how many there were."""
+    n = len(_made)
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

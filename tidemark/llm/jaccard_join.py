@@ -23,21 +23,26 @@ nothing. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.durable import save
+from tidemark.llm.durable import release, save
 from tidemark.llm.graph import components
 from tidemark.llm.textvec import U64, chunks, hashes, mix, shingles, words
 
 BLOCK = 256
 _COLUMNS = 1 << 13
+#: Pairs that are looked at together.
+_PAIRS = 256
 #: Sets that a task remembers having signed, so that copies sign once a task.
 _SEEN = 1 << 20
+#: Ids of documents whose tokens are wanted that are sent to all workers (8 MB); more of them meet their texts in a shuffle.
+MAX_SENT_IDS = 1 << 20
 
 
 def sets(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,46 +198,71 @@ def token_sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, tokens binary").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
+def classed(shared: DataFrame) -> DataFrame:
+    """``sig``, ``node``, ``w`` and ``n`` of one signature for all that the same nodes have, ``w`` of them; ``n`` nodes."""
+    held = shared.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    one = held.groupBy("n", "who").agg(F.min("sig").alias("sig"), F.count("*").alias("w"))
+    return shared.join(one.select("sig", "w", "n"), "sig")
+
+
 def signed_sets(known: DataFrame, shared: DataFrame) -> DataFrame:
-    """``node``, ``n`` and ``sigs``, the signatures that a node shares with others; a node has about n / 2 at most."""
+    """``node``, ``n`` and ``sigs``, the classes of signatures that a node shares and how many each stands for."""
     sizes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
-    return shared.groupBy("node").agg(F.collect_list("sig").alias("sigs")).join(sizes, "node")
+    return shared.groupBy("node").agg(F.collect_list(F.struct("sig", "w")).alias("sigs")).join(sizes, "node").select("node", "n", F.col("sigs.sig").alias("sigs"), F.col("sigs.w").alias("ws"))
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists end to end, and the row of each."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
 
 
-def check_pairs(pairs: DataFrame, signed: DataFrame, tokens: DataFrame, percent: int, largest: int) -> DataFrame:
+def check_pairs(pairs: DataFrame, signed: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int, largest: int) -> DataFrame:
     """Those of the pairs ``a``, ``b`` that are linked; their common signatures are counted first."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(percent, largest)
-        for batch in batches:
-            need = classes.least(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            x, y = batch.column(4), batch.column(5)
-            both = [len(set(p) & set(q)) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(np.array(both, np.int64) >= need, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, _PAIRS):
+                batch = whole.slice(at, _PAIRS)
+                need = classes.least(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+                (x, of_x), (w, _), (y, of_y) = (_flat(batch.column(i)) for i in (4, 5, 6))
+                # Equal keys stand for one signature in one pair; a chance collision only lets a pair through to the exact test.
+                seen = np.isin(mix(x.view(U64) ^ mix(of_x.astype(U64))), mix(y.view(U64) ^ mix(of_y.astype(U64))))
+                both = np.bincount(of_x, w * seen, minlength=batch.num_rows)
+                yield batch.select([0, 1]).filter(pa.array(both >= need, pa.bool_()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, U64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            good = [linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(a, b, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, _PAIRS):
+                batch = whole.slice(at, _PAIRS)
+                a, b = ([np.frombuffer(x, U64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+                good = [linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for x, y in zip(a, b, strict=True)]
+                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    def both(of: DataFrame, table: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
-        one = table.select(F.col("node").alias("a"), *[F.col(c).alias(x) for c, (x, _) in columns.items()])
-        two = table.select(F.col("node").alias("b"), *[F.col(c).alias(y) for c, (_, y) in columns.items()])
-        return of.join(one, "a").join(two, "b").select("a", "b", *[v for xy in columns.values() for v in xy])
+    def side(table: DataFrame, key: str, **columns: str) -> DataFrame:
+        return table.select(F.col("node").alias(key), *[F.col(c).alias(name) for name, c in columns.items()])
 
-    near = save(both(pairs, signed, {"n": ("m", "n"), "sigs": ("x", "y")}).mapInArrow(sift, "a bigint, b bigint"), "near")
-    return both(near, tokens, {"tokens": ("x", "y")}).mapInArrow(verify, "a bigint, b bigint")
+    sized = pairs.join(side(signed, "a", m="n", x="sigs", w="ws"), "a").join(side(signed, "b", n="n", y="sigs"), "b")
+    near = save(sized.select("a", "b", "m", "n", "x", "w", "y").mapInArrow(sift, "a bigint, b bigint"), "near")
+    held = tokens(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
+    both = near.join(side(held, "a", x="tokens"), "a").join(side(held, "b", y="tokens"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
 
 
-def overlaps(features: list[np.ndarray], rows: np.ndarray, into: np.ndarray, unions: int) -> np.ndarray:
-    """Sizes of the overlaps of nodes ``rows`` with unions: node i belongs to union ``into[i]``, or to none below 0."""
+def overlaps(features: list[np.ndarray], rows: np.ndarray, into: np.ndarray, unions: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Sizes of the overlaps of nodes ``rows`` with unions: node i belongs to union ``into[i]``, or to none below 0.
+
+    ``weights`` has what each feature counts, for all features end to end; 1 without it.
+    """
     n = len(features)
     member = np.repeat(np.arange(n), [len(f) for f in features])
-    _, column, held = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
+    _, first, column, held = np.unique(np.concatenate(features), return_index=True, return_inverse=True, return_counts=True)
     common = held[column] > 1  # what one node alone has is no overlap of two
-    column, member = np.unique(column[common], return_inverse=True)[1], member[common]
-    columns = int(column.max()) + 1 if len(column) else 0
+    kept = np.flatnonzero(held > 1)
+    column, member = np.searchsorted(kept, column[common]), member[common]
+    columns = len(kept)
+    weight = np.ones(columns, np.float32) if weights is None else weights[first[kept]].astype(np.float32)
     out = np.zeros((len(rows), unions), np.float32)
     for lo in range(0, columns, _COLUMNS):
         part = (column >= lo) & (column < lo + _COLUMNS)
@@ -241,18 +271,18 @@ def overlaps(features: list[np.ndarray], rows: np.ndarray, into: np.ndarray, uni
         union = np.zeros((unions, own.shape[1]), np.float32)
         inside = part & (into[member] >= 0)
         union[into[member[inside]], column[inside] - lo] = 1
-        out += own[rows] @ union.T
+        out += own[rows] @ (union * weight[lo : lo + _COLUMNS]).T
     return out
 
 
-def each_with(features: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+def each_with(features: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """Sizes of the overlaps of nodes ``rows`` with nodes ``columns``."""
     into = np.full(len(features), -1)
     into[columns] = np.arange(len(columns))
-    return overlaps(features, rows, into, len(columns))
+    return overlaps(features, rows, into, len(columns), weights)
 
 
-def open_groups(group: np.ndarray, side: np.ndarray, features: list[np.ndarray], need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def open_groups(group: np.ndarray, side: np.ndarray, features: list[np.ndarray], need: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of different groups in one block that have ``need[i, j]`` features in common, by a token-group matrix.
 
     Each group's features are united; a node's overlap with the union bounds that with any member, and only groups that the
@@ -264,11 +294,11 @@ def open_groups(group: np.ndarray, side: np.ndarray, features: list[np.ndarray],
     unions = np.arange(len(groups))
     order = np.argsort(of, kind="stable")
     least = np.minimum.reduceat(need[:, order], np.searchsorted(of[order], unions), axis=1)
-    opened = (overlaps(features, np.arange(n), of, len(groups)) >= least) & (of[:, None] > unions[None, :])
+    opened = (overlaps(features, np.arange(n), of, len(groups), weights) >= least) & (of[:, None] > unions[None, :])
     query, inside = np.flatnonzero(opened.any(axis=1)), np.flatnonzero(opened.any(axis=0)[of])
     if not len(query):
         return query, query
-    good = opened[query][:, of[inside]] & (each_with(features, query, inside) >= need[np.ix_(query, inside)])
+    good = opened[query][:, of[inside]] & (each_with(features, query, inside, weights) >= need[np.ix_(query, inside)])
     good &= (side[query][:, None] != side[inside][None, :]) | (side.max() == 0)
     x, y = np.nonzero(good)
     return query[x], inside[y]
@@ -281,7 +311,31 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
     return spread.select("sig", "node", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("p")).select("sig", "node", "comp", "p.*")
 
 
-def links_in_buckets(buckets: DataFrame, signed: DataFrame, tokens: DataFrame, percent: int, largest: int) -> DataFrame:
+def by_block(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``f`` of the rows of each ``sig``, ``x``, ``y``, which stream past in order; a block's pair is small, blocks are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "x", "y")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(keys[a])
+                if held and key != last:
+                    yield from f(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = key
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(run, schema)
+
+
+def links_in_buckets(buckets: DataFrame, signed: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int, largest: int) -> DataFrame:
     """Links between groups inside buckets ``sig``, ``node``, ``comp``, ``n`` (nodes of the bucket), block by block.
 
     A first matrix, of signatures, leaves the nodes that may link at all; only those bring their tokens to a second.
@@ -292,8 +346,9 @@ def links_in_buckets(buckets: DataFrame, signed: DataFrame, tokens: DataFrame, p
     def sift(table: pa.Table) -> pa.Table:
         group, side, n = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
         need, own = classes.least(n[:, None], n[None, :]), table.column("sig")[0].as_py()
-        sigs = [np.array(s, np.int64) for s in table.column("sigs").to_pylist()]
-        a, b = open_groups(group, side, sigs, need)
+        flat, row = _flat(table.column("sigs"))
+        sigs = np.split(flat, np.flatnonzero(np.diff(row)) + 1)  # every node has some
+        a, b = open_groups(group, side, sigs, need, _flat(table.column("ws"))[0])
         # A pair counts in the bucket of its smallest common signature; it was settled if that bucket is not here.
         if len(a):
             rows, i = np.unique(a, return_inverse=True)
@@ -313,8 +368,8 @@ def links_in_buckets(buckets: DataFrame, signed: DataFrame, tokens: DataFrame, p
         return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
     placed = in_blocks(buckets).join(signed, "node")
-    left = placed.groupBy("sig", "x", "y").applyInArrow(sift, "sig bigint, x int, y int, node bigint, comp bigint, side int")
-    return save(left, "sifted").join(tokens, "node").groupBy("sig", "x", "y").applyInArrow(verify, "a bigint, b bigint")
+    left = save(by_block(placed, sift, "sig bigint, x int, y int, node bigint, comp bigint, side int"), "sifted")
+    return by_block(left.join(tokens(left.select("node")), "node"), verify, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -325,21 +380,26 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = save(nodes(rows, k), "nodes")
     largest = known.agg(F.max("n")).first()[0] or 0
-    shared = save(shared_signatures(rows, k, percent, int(largest)), "signatures")
-    company = shared.join(shared.groupBy("sig").agg(F.count("*").alias("c")), "sig").groupBy("node").agg(F.sum("c").alias("company"))
+    shared = save(classed(save(shared_signatures(rows, k, percent, int(largest)), "signatures")), "classes")
+    release(docs.sparkSession)  # the signatures' shuffle is the largest
+    company = shared.groupBy("node").agg(F.sum(F.col("n") * F.col("w")).alias("company"))
     best = shared.join(company, "node").groupBy("sig").agg(F.max(F.struct("company", "node")).getField("node").alias("pivot"))
-    starred = save(shared.join(best, "sig"), "starred")
-    wanted = shared.select("node").distinct()
-    first_of = known.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    tokens = save(token_sets(rows.join(first_of.select("id").distinct(), "id", "left_semi"), k), "tokens")
-    pairs = starred.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    starred = save(shared.select("sig", "node").join(best, "sig"), "starred")
     signed = save(signed_sets(known, shared), "signed")
+
+    def tokens(wanted: DataFrame) -> DataFrame:
+        """Token sets of nodes, from the text of one document each."""
+        ids = save(known.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct(), "ids")
+        few = ids.count() <= MAX_SENT_IDS
+        return save(token_sets(rows.join(F.broadcast(ids) if few else ids, "id", "left_semi"), k), "tokens")
+
+    pairs = starred.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     near = components(check_pairs(pairs, signed, tokens, percent, int(largest)))
     others = starred.where("node <> pivot").join(near, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = others.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
+    mixed = others.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("a"), F.max("node").alias("b"))
     mixed = save(mixed.where("lo <> hi"), "mixed")
     twos = check_pairs(mixed.where("n = 2").select("a", "b").distinct(), signed, tokens, percent, int(largest))
-    once = mixed.where("n > 2").groupBy("n", "who").agg(F.min("sig").alias("sig"))  # buckets of the same nodes count once
+    once = mixed.where("n > 2")
     blocks = links_in_buckets(others.join(once.select("sig", "n"), "sig"), signed, tokens, percent, int(largest))
     more = save(twos.unionByName(blocks), "links")
     merged = more.join(near.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
