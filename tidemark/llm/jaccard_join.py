@@ -7,8 +7,8 @@ Sets are compared as sets of 64-bit shingle hashes; equal sets are one node. The
    each of which spoils one part, and there are H + 1 parts and some more for those empty in both. A set signs each of its
    parts in its own and the next lower class; nodes with a common signature are candidates. A signature covers about five
    shingles, so a passage that many documents share, but little else, brings them together rarely.
-2. In each signature's bucket all nodes are paired with one pivot, the one with most company. A pair whose common signatures
-   are too few for its sizes cannot be linked; the sets of the others are compared. Links make first groups.
+2. In each signature's bucket all nodes are paired with one pivot, the one with most company. A pair whose signatures,
+   and then its common ones, are too few for its sizes cannot be linked; the sets of the others are compared. Links make first groups.
 3. Two other nodes in two groups are a pair like those. Buckets with more that are still in several go to token-group matrices: blocks of at most ``BLOCK`` nodes a side
    hold the union of each group's tokens, the overlap of a node with a union bounds its overlap with every member, and only
    groups that the bound does not exclude are opened. Signatures are the tokens of a first matrix, which leaves the few nodes
@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.durable import release, save
@@ -123,6 +123,18 @@ def signatures(h: np.ndarray, n: np.ndarray, classes: Classes) -> tuple[np.ndarr
     return np.concatenate(out), np.concatenate(of)
 
 
+def least_in(n: Column, lo: Column, hi: Column, classes: Classes) -> Column:
+    """A lower bound of ``Classes.least`` for a set of size ``n`` and any of sizes ``lo`` to ``hi``."""
+    most = lambda c: F.element_at(F.lit(classes.most.tolist()), F.size(F.filter(F.lit(classes.edges.tolist()), lambda e: e <= c)))
+    small = F.greatest(lo, F.ceil(n * classes.percent / 100.0)).cast("bigint")
+    large = F.least(hi, F.floor(n * 100.0 / classes.percent)).cast("bigint")
+    differ = lambda b: F.call_function("div", (n + b) * (100 - classes.percent), F.lit(100 + classes.percent).cast("bigint"))
+    # Above n the bound falls with the other size; below it, the smallest class is set against the largest size.
+    above = 1 + most(F.least(n, large)) - differ(large)
+    below = F.when(small < n, 1 + most(small) - differ(F.least(n, hi)))
+    return F.least(above, below)
+
+
 def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of sizes ``a`` and ``b`` with ``both`` common shingles are linked."""
     return 100 * both >= percent * (a + b - both)
@@ -206,9 +218,9 @@ def classed(shared: DataFrame) -> DataFrame:
 
 
 def signed_sets(known: DataFrame, shared: DataFrame) -> DataFrame:
-    """``node``, ``n`` and ``sigs``, the classes of signatures that a node shares and how many each stands for."""
+    """``node``, ``n``, ``sigs``, the classes of signatures that a node shares, ``ws``, how many each stands for, and ``all`` of them."""
     sizes = known.where("n > 0").groupBy("node").agg(F.first("n").alias("n"))
-    return shared.groupBy("node").agg(F.collect_list(F.struct("sig", "w")).alias("sigs")).join(sizes, "node").select("node", "n", F.col("sigs.sig").alias("sigs"), F.col("sigs.w").alias("ws"))
+    return shared.groupBy("node").agg(F.collect_list(F.struct("sig", "w")).alias("sigs"), F.sum("w").alias("all")).join(sizes, "node").select("node", "n", "all", F.col("sigs.sig").alias("sigs"), F.col("sigs.w").alias("ws"))
 
 
 def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,6 +229,20 @@ def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
 
 
+def able_pairs(pairs: DataFrame, signed: DataFrame, percent: int, largest: int) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose sizes and numbers of shared signatures do not rule out a link."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(percent, largest)
+        for batch in batches:
+            m, n, x, y = (batch.column(i).to_numpy() for i in range(2, 6))
+            yield batch.select([0, 1]).filter(pa.array(np.minimum(x, y) >= classes.least(m, n), pa.bool_()))
+
+    one = signed.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("all").alias("x"))
+    two = signed.select(F.col("node").alias("b"), "n", F.col("all").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(sift, "a bigint, b bigint")
+
+
 def check_pairs(pairs: DataFrame, signed: DataFrame, tokens: Callable[[DataFrame], DataFrame], percent: int, largest: int) -> DataFrame:
     """Those of the pairs ``a``, ``b`` that are linked; their common signatures are counted first."""
 
@@ -243,8 +269,10 @@ def check_pairs(pairs: DataFrame, signed: DataFrame, tokens: Callable[[DataFrame
     def side(table: DataFrame, key: str, **columns: str) -> DataFrame:
         return table.select(F.col("node").alias(key), *[F.col(c).alias(name) for name, c in columns.items()])
 
+    pairs = save(able_pairs(pairs, signed, percent, largest), "able")
     sized = pairs.join(side(signed, "a", m="n", x="sigs", w="ws"), "a").join(side(signed, "b", n="n", y="sigs"), "b")
     near = save(sized.select("a", "b", "m", "n", "x", "w", "y").mapInArrow(sift, "a bigint, b bigint"), "near")
+    release(pairs.sparkSession)
     held = tokens(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))))
     both = near.join(side(held, "a", x="tokens"), "a").join(side(held, "b", y="tokens"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint")
@@ -369,6 +397,7 @@ def links_in_buckets(buckets: DataFrame, signed: DataFrame, tokens: Callable[[Da
 
     placed = in_blocks(buckets).join(signed, "node")
     left = save(by_block(placed, sift, "sig bigint, x int, y int, node bigint, comp bigint, side int"), "sifted")
+    release(left.sparkSession)
     return by_block(left.join(tokens(left.select("node")), "node"), verify, "a bigint, b bigint")
 
 
@@ -399,9 +428,15 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     mixed = others.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("a"), F.max("node").alias("b"))
     mixed = save(mixed.where("lo <> hi"), "mixed")
     twos = check_pairs(mixed.where("n = 2").select("a", "b").distinct(), signed, tokens, percent, int(largest))
-    once = mixed.where("n > 2")
-    blocks = links_in_buckets(others.join(once.select("sig", "n"), "sig"), signed, tokens, percent, int(largest))
+    once = mixed.where("n > 2").select("sig")
+    sized = others.join(once, "sig").join(signed.select("node", F.col("n").alias("size"), "all"), "node")
+    ends = sized.groupBy("sig").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    enough = F.col("all") >= least_in(F.col("size"), F.col("lo"), F.col("hi"), Classes(percent, int(largest)))
+    able = save(sized.join(ends, "sig").where(enough).select("sig", "node", "comp"), "able")
+    counted = able.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig", "n")
+    blocks = links_in_buckets(able.join(counted, "sig"), signed, tokens, percent, int(largest))
     more = save(twos.unionByName(blocks), "links")
+    release(docs.sparkSession)
     merged = more.join(near.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b", "left")
     second = components(merged.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
     up = second.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
