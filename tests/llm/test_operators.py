@@ -178,6 +178,15 @@ def test_filter_reads_counts_back(spark):
     assert np.mean(absent == 0) > 0.95
 
 
+def test_pairs_of_rare_words_count(spark):
+    filler = " ".join(f"w{i}" for i in range(2500))
+    rows = [(i, filler, "en", "s", 0) for i in range(3)] + [(5, "alpha beta", "en", "s", 0), (6, "alpha beta", "en", "s", 0), (7, "beta alpha", "en", "s", 0)]
+    docs = documents(spark, rows)
+    got = keyed(lm_score.score(docs, *lm_score.train(docs, F.col("doc_id") < 7), [F.col("doc_id")]))
+    assert got[5].base_score == pytest.approx(got[7].base_score)
+    assert got[5].score > got[7].score + 1
+
+
 # 5
 
 
