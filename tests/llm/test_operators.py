@@ -178,6 +178,15 @@ def test_filter_reads_counts_back(spark):
     assert np.mean(absent == 0) > 0.95
 
 
+def test_filter_keeps_single_counts_at_any_size(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm_score, "MAX_BYTES", 1 << 10, raising=False)
+    keys = np.arange(1, 3001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    table = spark.createDataFrame([(int(k), 1) for k in keys.view(np.int64)], "h bigint, c bigint")
+    assert (lm_score.Filter(lm_score.build(table)).read(keys) >= 1).all()
+
+
 def test_pairs_of_rare_words_count(spark):
     filler = " ".join(f"w{i}" for i in range(2500))
     rows = [(i, filler, "en", "s", 0) for i in range(3)] + [(5, "alpha beta", "en", "s", 0), (6, "alpha beta", "en", "s", 0), (7, "beta alpha", "en", "s", 0)]

@@ -38,8 +38,6 @@ PRIOR = 500.0
 STEP = 1.5
 SEGMENT_BITS = 16
 BITS_PER_ENTRY = 12
-#: Most bytes of the filter. Beyond it the least counts are left out until the rest has room (they score as unseen).
-MAX_BYTES = 256 << 20
 _CHUNK = 1 << 21
 #: Distinct keys that a counting task holds before it passes them on.
 _HELD = 1 << 21
@@ -238,41 +236,9 @@ def filters(counts: DataFrame, bits: int) -> DataFrame:
 
 
 def build(entries: DataFrame) -> np.ndarray:
-    """The bits of a filter that holds the counts ``c`` of the keys ``h``.
-
-    Keys meet at their segments; a task makes its segments and the driver gets ``MAX_BYTES`` at most.
-    """
-    levels = F.expr(f"cast(1 + floor(ln(c) / ln({STEP}) + 1e-9) as bigint)")
-    by_level = {r.l: (r.n, r.s) for r in entries.groupBy(levels.alias("l")).agg(F.count("*").alias("n"), F.sum(levels).alias("s")).collect()}  # a row a level
-    least = 1
-    need = lambda: BITS_PER_ENTRY * sum(s for lv, (_, s) in by_level.items() if lv >= least)
-    while need() > 8 * MAX_BYTES:
-        least += 1
-    segments = max(1, -(-need() >> SEGMENT_BITS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
-        for batch in batches:
-            seg, h, top = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64), level(batch.column(2).to_numpy())
-            order = np.argsort(seg, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(seg[order])) + 1):
-                bits = made.setdefault(int(seg[rows[0]]), np.zeros(1 << SEGMENT_BITS, bool))
-                for j in range(1, int(top[rows].max()) + 1):
-                    bits[_spots(h[rows[top[rows] >= j]], j).ravel()] = True
-        if made:
-            packed = [np.packbits(b, bitorder="little").tobytes() for b in made.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int64()), pa.array(packed, pa.binary())], names=["segment", "bits"])
-
-    def segment_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_segment(batch.column(0).to_numpy().view(U64), segments)), batch.column(0), batch.column(1)], names=["segment", "h", "c"])
-
-    placed = entries.where(levels >= least).mapInArrow(segment_of, "segment bigint, h bigint, c bigint").repartition("segment")
-    bits = np.zeros(segments << (SEGMENT_BITS - 3), np.uint8)
-    for r in placed.mapInArrow(run, "segment bigint, bits binary").toLocalIterator():
-        at = r.segment << (SEGMENT_BITS - 3)
-        bits[at : at + (1 << (SEGMENT_BITS - 3))] = np.frombuffer(r.bits, np.uint8)
-    return bits
+    """The bits of one filter that holds the counts ``c`` of the distinct keys ``h`` of a small table, all levels of them."""
+    rows = entries.select("h", "c").toArrow()
+    return fill(rows["h"].to_numpy().view(U64), rows["c"].to_numpy())
 
 
 class Model(NamedTuple):
