@@ -153,6 +153,12 @@ def ns_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.lookup(dentry, asked)
 
 
+@query("ns_lookup_all", "SELECT parent, name, inode, type FROM dentry UNION ALL SELECT 1, 'missing', NULL, NULL", ("dentry",))
+def ns_lookup_all(spark: SparkSession, folder: str) -> DataFrame:
+    dentry = view(spark, folder, "dentry")
+    return namespace.lookup(dentry, dentry.select("parent", "name").unionByName(spark.sql("select cast(1 as bigint) as parent, 'missing' as name")))
+
+
 @query("ns_lookup_folded", "SELECT parent, upper(name) AS name, inode FROM dentry WHERE type = 0 UNION ALL SELECT 1, 'nowhere', NULL", ("dentry",))
 def ns_lookup_folded(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
@@ -166,6 +172,12 @@ def ns_readdir(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.readdir(dentry, dentry.where("parent < 2000000").select("parent")).select("parent", "name", "inode", "place")
 
 
+@query("ns_readdir_all", "SELECT parent, name, inode, row_number() OVER (PARTITION BY parent ORDER BY name) AS place FROM dentry", ("dentry",))
+def ns_readdir_all(spark: SparkSession, folder: str) -> DataFrame:
+    dentry = view(spark, folder, "dentry")
+    return namespace.readdir(dentry, dentry.select("parent")).select("parent", "name", "inode", "place")
+
+
 @query("ns_batch_stat", """+ d AS (SELECT inode, CAST(4096 AS BIGINT) AS size, 'dir' AS kind FROM dentry WHERE type = 1), f AS (SELECT inode, size, 'file' AS kind FROM file_attr WHERE inode NOT IN (SELECT inode FROM d)),
 asked AS (SELECT inode AS place, inode FROM dentry WHERE inode % 5 = 0 UNION ALL SELECT 0, 7)
 SELECT a.place, a.inode, k.size, k.kind FROM asked a LEFT JOIN (SELECT * FROM d UNION ALL SELECT * FROM f) k ON k.inode = a.inode""", ("dentry", "file_attr"))
@@ -176,6 +188,16 @@ def ns_batch_stat(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.batch_stat(dirs, view(spark, folder, "file_attr").select("inode", "size"), asked).select("place", "inode", "size", "kind")
 
 
+@query("ns_batch_stat_all", """+ d AS (SELECT inode, CAST(4096 AS BIGINT) AS size, 'dir' AS kind FROM dentry WHERE type = 1), f AS (SELECT inode, size, 'file' AS kind FROM file_attr WHERE inode NOT IN (SELECT inode FROM d)),
+asked AS (SELECT inode AS place, inode FROM dentry UNION ALL SELECT 0, 7)
+SELECT a.place, a.inode, k.size, k.kind FROM asked a LEFT JOIN (SELECT * FROM d UNION ALL SELECT * FROM f) k ON k.inode = a.inode""", ("dentry", "file_attr"))
+def ns_batch_stat_all(spark: SparkSession, folder: str) -> DataFrame:
+    dentry = view(spark, folder, "dentry")
+    dirs = dentry.where("type = 1").select("inode", F.lit(4096).cast("bigint").alias("size"))
+    asked = dentry.select(F.col("inode").alias("place"), "inode").unionByName(spark.sql("select cast(0 as bigint) as place, cast(7 as bigint) as inode"))
+    return namespace.batch_stat(dirs, view(spark, folder, "file_attr").select("inode", "size"), asked).select("place", "inode", "size", "kind")
+
+
 @query("ns_child_counts", "SELECT parent, count(*) AS n_children, count(*) FILTER (WHERE type = 1) AS n_dirs FROM dentry GROUP BY parent", ("dentry",))
 def ns_child_counts(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.child_counts(view(spark, folder, "dentry"))
@@ -214,6 +236,13 @@ def ns_lookup_path(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.walk(dentry, asked)
 
 
+@query("ns_lookup_path_all", "+ " + PATHS + " SELECT p.path, p.inode, d.type FROM paths p JOIN dentry d ON d.inode = p.inode UNION ALL SELECT '/no/where', NULL, NULL UNION ALL SELECT '/', 1, 1", ("dentry",))
+def ns_lookup_path_all(spark: SparkSession, folder: str) -> DataFrame:
+    dentry = view(spark, folder, "dentry")
+    asked = namespace.paths_up(dentry, dentry).select("path").unionByName(spark.sql("select '/no/where' as path union all select '/'"))
+    return namespace.walk(dentry, asked)
+
+
 @query("ns_prefix_match", "+ " + PATHS + " SELECT inode, path FROM paths WHERE path = '/ASIA' OR starts_with(path, '/ASIA/')", ("dentry",))
 def ns_prefix_match(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
@@ -251,6 +280,16 @@ def ns_rename_allowed(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.rename_allowed(a.join(b, "src_inode", "left"), dentry).select("src_inode", "dst_inode", "verdict")
 
 
+@query("ns_rename_allowed_all", """+ m AS (SELECT a.inode AS src_inode, a.type AS src_type, b.inode AS dst_inode, b.type AS dst_type FROM dentry a LEFT JOIN dentry b ON b.inode = a.inode + 1)
+SELECT src_inode, dst_inode, CASE WHEN dst_inode IS NULL THEN 'ok' WHEN src_inode = dst_inode THEN 'same' WHEN src_type = 1 AND dst_type <> 1 THEN 'not a directory' WHEN src_type <> 1 AND dst_type = 1 THEN 'is a directory'
+WHEN dst_type = 1 AND dst_inode IN (SELECT parent FROM dentry) THEN 'not empty' ELSE 'ok' END AS verdict FROM m""", ("dentry",))
+def ns_rename_allowed_all(spark: SparkSession, folder: str) -> DataFrame:
+    dentry = view(spark, folder, "dentry")
+    a = dentry.select(F.col("inode").alias("src_inode"), F.col("type").alias("src_type"))
+    b = dentry.select((F.col("inode") - 1).alias("src_inode"), F.col("inode").alias("dst_inode"), F.col("type").alias("dst_type"))
+    return namespace.rename_allowed(a.join(b, "src_inode", "left"), dentry).select("src_inode", "dst_inode", "verdict")
+
+
 @query("ns_name_validity", "SELECT doc_id, length(text) BETWEEN 1 AND 255 AND octet_length(encode(substr(text, 1, 300))) BETWEEN 1 AND 255 AND NOT contains(text, '/') AND text NOT IN ('.', '..') AS valid FROM documents")
 def ns_name_validity(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", text.valid_name(F.col("text")).alias("valid"))
@@ -297,6 +336,11 @@ def gc_delayed_ready(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.ready(view(spark, folder, "uncommitted"), 300000, 500).select("id", "slice_id", "size", "next_status")
 
 
+@query("gc_delayed_ready_all", "SELECT id, slice_id, size, 'meta_deleted' AS next_status FROM uncommitted WHERE status IN ('pending', 'meta_deleted') AND created_at <= 300000", ("uncommitted",))
+def gc_delayed_ready_all(spark: SparkSession, folder: str) -> DataFrame:
+    return lifecycle.ready(view(spark, folder, "uncommitted"), 300000).select("id", "slice_id", "size", "next_status")
+
+
 ORPHANS = """lost AS (SELECT slice_id, size FROM uncommitted u WHERE status = 'pending' AND created_at < 400000 AND slice_id NOT IN (SELECT slice_id FROM committed) UNION ALL SELECT slice_id, size FROM uncommitted WHERE status = 'orphan')"""
 
 
