@@ -21,3 +21,12 @@ def test_paths_survive_cycles_and_hard_links(spark):
     assert sorted((r.inode, r.path) for r in got) == [(2, "/a"), (9, "/a/f"), (9, "/g")]
     asked = spark.createDataFrame([("/a/f",), ("/g/f",), ("/",)], "path string")
     assert sorted((r.path, r.inode) for r in namespace.walk(dentry, asked).collect()) == [("/", 1), ("/a/f", 9), ("/g/f", None)]
+
+
+def test_paths_of_any_depth(spark):
+    rows = [(i, f"d{i}", i + 1, 1) for i in range(1, 67)] + [(200, "x", 201, 1), (201, "y", 200, 1)]
+    dentry = spark.createDataFrame(rows, "parent bigint, name string, inode bigint, type int").coalesce(1).cache()
+    asked = spark.sql("select cast(67 as bigint) as inode union all select 201")
+    path = "".join(f"/d{i}" for i in range(1, 67))
+    assert [(r.inode, r.path) for r in namespace.paths_up(dentry, asked).collect()] == [(67, path)]
+    assert [r.inode for r in namespace.walk(dentry, spark.createDataFrame([(path,)], "path string")).collect()] == [67]

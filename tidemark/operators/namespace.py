@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROOT = 1
-#: Levels after which a walk gives up, as entries may form a cycle.
-MAX_DEPTH = 64
+#: Levels after which rows are materialised, as plans of deep trees would grow too long.
+CUT_LEVELS = 8
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows with a new lineage, kept in the checkpoint folder if the session has one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
 
 
 def lookup(dentry: DataFrame, asked: DataFrame) -> DataFrame:
@@ -62,30 +67,42 @@ def dangling(dentry: DataFrame, known: DataFrame) -> DataFrame:
     return dentry.join(known.select("inode"), "inode", "left_anti")
 
 
-def paths_up(dentry: DataFrame, asked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``inode`` and ``path`` of every way from the root to the asked inodes; broken chains are left out."""
+def paths_up(dentry: DataFrame, asked: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``inode`` and ``path`` of every way from the root to the asked inodes; broken chains and cycles are left out.
+
+    Ways may be as deep as the tree, or ``max_depth`` if given.
+    """
     up = dentry.select(F.col("inode").alias("at"), F.col("parent").alias("next"), "name")
     start = asked.select("inode").distinct()
-    live = start.select("inode", F.col("inode").alias("at"), F.lit("").alias("path"))
+    live = start.select("inode", F.col("inode").alias("at"), F.lit("").alias("path"), F.array("inode").alias("seen"))
     done = live.where(F.col("at") == ROOT).select("inode", F.lit("/").alias("path"))
-    for _ in range(max_depth):
-        live = live.where(F.col("at") != ROOT).join(up, "at").select("inode", F.col("next").alias("at"), F.concat(F.lit("/"), "name", "path").alias("path"))
+    level = 0
+    while max_depth is None or level < max_depth:
+        level += 1
+        step = live.where(F.col("at") != ROOT).join(up, "at").where(~F.array_contains("seen", F.col("next")))
+        live = step.select("inode", F.col("next").alias("at"), F.concat(F.lit("/"), "name", "path").alias("path"), F.concat("seen", F.array("next")).alias("seen"))
+        if level % CUT_LEVELS == 0:
+            live, done = _cut(live), _cut(done)
         if live.isEmpty():
             break
         done = done.unionByName(live.where(F.col("at") == ROOT).select("inode", "path"))
     return done.distinct()
 
 
-def walk(dentry: DataFrame, asked: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def walk(dentry: DataFrame, asked: DataFrame) -> DataFrame:
     """``path``, ``inode`` and ``type`` of each asked path; null inode if a part is missing or lies under a non-directory."""
     from tidemark.functions.text import path_parts
 
     down = dentry.select(F.col("parent").alias("at"), F.col("name").alias("part"), F.col("inode").alias("to"), F.col("type").alias("to_type"))
     live = asked.select("path").distinct().withColumn("parts", path_parts(F.col("path"))).select("path", "parts", F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"))
     done = live.where(F.size("parts") == 0).select("path", F.col("at").alias("inode"), "type")
-    for _ in range(max_depth):
+    level = 0
+    while True:  # ends with the longest path's parts
+        level += 1
         step = live.where((F.size("parts") > F.col("i")) & (F.coalesce("type", F.lit(0)) == 1)).withColumn("part", F.get("parts", F.col("i")))
         live = step.join(down, ["at", "part"]).select("path", "parts", F.col("to").alias("at"), F.col("to_type").alias("type"), (F.col("i") + 1).alias("i"))
+        if level % CUT_LEVELS == 0:
+            live, done = _cut(live), _cut(done)
         if live.isEmpty():
             break
         done = done.unionByName(live.where(F.size("parts") == F.col("i")).select("path", F.col("at").alias("inode"), "type"))
