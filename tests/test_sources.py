@@ -98,3 +98,17 @@ def test_pods_by_claim_inline_volume_and_readiness(spark):
     objects = spark.createDataFrame(rows, "kind string, body string")
     assert sorted((r.name, r.ready) for r in fleet.pods(objects, "fs.driver", "fsmark").collect()) == [("x", False), ("z", True)]
     assert tuple(fleet.summary(objects, "fs.driver", "fsmark").first()) == (1, 0, 1, 2, 1)
+
+
+def test_read_ahead_streams_a_hot_file(spark):
+    rows = [(i % 5 and 1, i, (i * 4099) % 65536 if i % 3 else i * 100, 100) for i in range(400)]
+    reads = spark.createDataFrame(rows, "inode bigint, seq bigint, off bigint, len bigint")
+    whole = sorted(activity.read_ahead(reads, block=4096, most=65536, budget=1 << 20).collect())
+    key, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        small = activity.read_ahead(reads, block=4096, most=65536, budget=1 << 20)
+        assert sorted(small.collect()) == whole
+        assert "FlatMapGroups" not in small._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set(key, was)

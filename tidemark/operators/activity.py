@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,18 +68,25 @@ def pressure(used_share: Column) -> Column:
     return F.when(used_share >= 0.95, "critical").when(used_share >= 0.80, "high").when(used_share >= 0.60, "elevated").otherwise("normal")
 
 
-def _read_ahead(rows: pd.DataFrame, block: int, most: int, budget: int, as_observed: bool) -> list[int]:
-    """Window after each read of one file: two slots, each following one sequential stream."""
-    slots = [{"ahead": 0, "end": 0, "total": 0, "at": 0}, {"ahead": 0, "end": 0, "total": 0, "at": 0}]
-    out = []
-    for turn, (off, length) in enumerate(zip(rows["off"].tolist(), rows["len"].tolist(), strict=True), 1):
-        ahead_of = lambda s: s["total"] > 0 and s["end"] <= off <= s["end"] + s["ahead"] + block  # noqa: E731, B023
-        behind = lambda s: s["total"] > 0 and max(s["end"] - max(s["ahead"] // 8, block), 0) <= off < s["end"]  # noqa: E731, B023
+class _Session:
+    """The read-ahead state of one file: two slots, each following one sequential stream."""
+
+    def __init__(self, block: int, most: int, budget: int, as_observed: bool) -> None:
+        self.block, self.most, self.budget, self.as_observed = block, most, budget, as_observed
+        self.slots = [{"ahead": 0, "end": 0, "total": 0, "at": 0}, {"ahead": 0, "end": 0, "total": 0, "at": 0}]
+        self.turn = 0
+
+    def read(self, off: int, length: int) -> int:
+        """The window after the next read."""
+        self.turn += 1
+        slots, block, most, turn = self.slots, self.block, self.most, self.turn
+        ahead_of = lambda s: s["total"] > 0 and s["end"] <= off <= s["end"] + s["ahead"] + block
+        behind = lambda s: s["total"] > 0 and max(s["end"] - max(s["ahead"] // 8, block), 0) <= off < s["end"]
         far = 0 if slots[0]["end"] > slots[1]["end"] else 1
         near = 0 if slots[0]["end"] < slots[1]["end"] else 1
         order = [(ahead_of, far), (ahead_of, 1 - far), (behind, near), (behind, 1 - near)]
         match = next((i for fits, i in order if fits(slots[i])), None)
-        if match is None or as_observed:  # observed behaviour: the slot to fall back on is reset even when another matches
+        if match is None or self.as_observed:  # observed behaviour: the slot to fall back on is reset even when another matches
             spare = next((i for i in (0, 1) if slots[i]["total"] == 0), 0 if slots[0]["at"] < slots[1]["at"] else 1)
             slots[spare] = {"ahead": 0, "end": off, "total": 0, "at": turn}
             match = spare if match is None else match
@@ -88,25 +97,31 @@ def _read_ahead(rows: pd.DataFrame, block: int, most: int, budget: int, as_obser
         s["at"] = turn
         if s["ahead"] == 0 and block <= most and (off == 0 or (s["total"] > length and s["total"] >= block)):
             s["ahead"] = min(block, most)
-        elif s["ahead"] < most and s["total"] >= s["ahead"] and budget > 4 * s["ahead"]:
+        elif s["ahead"] < most and s["total"] >= s["ahead"] and self.budget > 4 * s["ahead"]:
             s["ahead"] = min(2 * s["ahead"], most)
-        elif s["ahead"] >= block and (budget < s["ahead"] // 2 or s["total"] < s["ahead"] // 4):
+        elif s["ahead"] >= block and (self.budget < s["ahead"] // 2 or s["total"] < s["ahead"] // 4):
             s["ahead"] //= 2
-        out.append(s["ahead"])
-    return out
+        return s["ahead"]
 
 
 def read_ahead(reads: DataFrame, *, block: int = 4 << 20, most: int = 32 << 20, budget: int = 256 << 20, as_observed: bool = True) -> DataFrame:
     """``inode``, ``seq``, ``ahead``: the read-ahead window after each read; reads of a file in order of ``seq``.
 
-    The state of a file depends on the order of its reads, so each file is one group; files are independent.
+    The state of a file depends on the order of its reads, so a file's reads are sorted in one task; only its state is held.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame({"inode": rows["inode"], "seq": rows["seq"], "ahead": _read_ahead(rows, block, most, budget, as_observed)})
-
-    return reads.select("inode", "seq", "off", "len").groupBy("inode").applyInPandas(run, "inode bigint, seq bigint, ahead bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, session = None, None
+        for batch in batches:
+            ahead = []
+            for inode, off, length in zip(*(batch.column(c).to_pylist() for c in ("inode", "off", "len")), strict=True):
+                if session is None or inode != file:
+                    file, session = inode, _Session(block, most, budget, as_observed)
+                ahead.append(session.read(off, length))
+            yield pa.RecordBatch.from_arrays([batch.column("inode"), batch.column("seq"), pa.array(ahead, pa.int64())], names=["inode", "seq", "ahead"])
+
+    ordered = reads.select(F.col("inode").cast("bigint"), F.col("seq").cast("bigint"), "off", "len").repartition("inode").sortWithinPartitions("inode", F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(run, "inode bigint, seq bigint, ahead bigint")
 
 
 def prefetch(state: DataFrame, block: int = 4 << 20) -> DataFrame:
