@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.textvec import U64, chunks, mix, ragged
+from tidemark.llm.textvec import U64, Words, chunks, hashes, ragged
 
 SPACE = 0x2581
 _NONE = np.iinfo(np.int32).max
 _MUL = U64(0x9E3779B97F4A7C15)
-_BASE = U64(0xD1342543DE82EF95)
 
 
 class Pieces:
@@ -195,10 +194,7 @@ class Pieces:
         start = np.flatnonzero(cut)
         size = np.diff(np.append(start, len(codes)))
         row = np.searchsorted(np.cumsum(length), start, side="right")
-        local = np.arange(len(codes)) - np.repeat(start, size)
-        power = np.cumprod(np.concatenate([np.ones(1, U64), np.full(int(size.max()), _BASE)]))
-        key = mix(np.add.reduceat((codes.astype(U64) + U64(1)) * power[local], start) + size.astype(U64))
-        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        first, inverse = self._distinct(codes, start, size)
         own = size[first]
         sym, n = self.merge(self.symbols(codes[ragged(start[first], own)]), own)
         ids, n = self._bytes(sym, n)
@@ -206,6 +202,24 @@ class Pieces:
         counts = np.bincount(row, n[inverse], minlength=len(texts)).astype(np.int64)
         return ids[ragged(at[inverse], n[inverse])], counts
 
+    def _distinct(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each kind of word, and the kind of every word.
+
+        Words are sorted by a hash of their characters and then compared with the first of their hash, character by character;
+        one that differs from it is a kind of its own.
+        """
+        key = hashes(Words(np.ascontiguousarray(codes, "<u4").view(np.uint8), 4 * start, 4 * size, start, size))
+        _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        there = first[inverse]
+        odd = size[there] != size
+        alike = np.flatnonzero(~odd)
+        own = size[alike]
+        equal = codes[ragged(start[alike], own)] == codes[ragged(start[there[alike]], own)]
+        odd[alike] = ~np.logical_and.reduceat(equal, np.cumsum(own) - own)
+        more = np.flatnonzero(odd)
+        inverse[more] = len(first) + np.arange(len(more))
+        return np.append(first, more), inverse
+
     def _bytes(self, sym: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replace characters without a piece by the pieces of their bytes."""
         odd = (sym < 0) | (sym >= self.extra)

@@ -1,11 +1,12 @@
 """Whole columns of text as flat numpy arrays: words, word hashes and shingle hashes without a Python loop per word.
 
 Words are maximal runs outside ``[\\x20\\x09-\\x0D]``; as those six are ASCII, byte positions in UTF-8 are enough. A word is
-known by a 64-bit hash: a polynomial over its bytes, finished by a mixing step.
+known by a 64-bit hash, which mixes its bytes in blocks of eight under a fixed key; long words are hashed by blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,9 +19,11 @@ GAP = np.zeros(256, bool)
 GAP[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
+_KEY = U64(0x9E3779B97F4A7C15)
+_ROUND = U64(0xA0761D6478BD642F)
 _SHINGLE = U64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, U64)
+#: Bytes of a word beyond which a digest is cheaper than block rounds, which run once for all words of a batch.
+_LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,14 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    """The first ``n`` powers of the polynomial's base, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([np.ones(1, U64), np.full(max(n, 1024) - 1, _BASE)]))
-    return _powers
-
-
 def raw(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null rows are empty."""
     col = pc.fill_null(col.cast(pa.large_string()), "")
@@ -85,12 +80,21 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True) -> Words:
 
 
 def hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word."""
+    """A 64-bit hash of each word: its length and its blocks of eight bytes, mixed one after the other."""
     if not len(w.at):
         return np.zeros(0, U64)
-    local = np.arange(len(w.bytes)) - np.repeat(w.at, w.size)
-    values = (w.bytes.astype(U64) + U64(1)) * powers(int(w.size.max())).take(local)
-    return mix(np.add.reduceat(values, w.at) + w.size.astype(U64))
+    padded = np.concatenate([w.bytes, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(w.bytes), U64, padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(w.size.astype(U64) + _KEY)
+    short = w.size <= _LONG
+    for r in range(-(-int(w.size[short].max(initial=0)) // 8)):
+        alive = np.flatnonzero(short & (w.size > 8 * r))
+        block, rest = blocks[w.at[alive] + 8 * r], 8 * np.minimum(w.size[alive] - 8 * r, 8)
+        block &= ~U64(0) >> (64 - rest).astype(U64)
+        h[alive] = mix((h[alive] ^ block) * _ROUND + U64(r))
+    for i in np.flatnonzero(~short):
+        h[i] = U64(int.from_bytes(hashlib.blake2b(w.bytes[w.at[i] : w.at[i] + w.size[i]], digest_size=8, key=b"tidemark").digest(), "little"))
+    return h
 
 
 def shingles(h: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
