@@ -72,7 +72,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
-def quality_rules_sql(min_rows: int = 100, spread: float = 3.0) -> str:
+def quality_rules_sql(prior: int = 100, spread: float = 3.0) -> str:
     """The same counts and fences; quartiles are read from the histograms by a running sum."""
     values = {m: e.replace(" div ", " // ") for m, (e, _, _) in quality_rules.METRICS.items()}
     metrics = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {e} AS v FROM measured WHERE NOT base_failed" for m, e in values.items())
@@ -82,7 +82,8 @@ def quality_rules_sql(min_rows: int = 100, spread: float = 3.0) -> str:
         running = f"SELECT *, sum(n) OVER ({on} ORDER BY bin) AS run, sum(n) OVER ({on}) AS rows_ FROM {cells}"
         return f"SELECT {keys}metric, any_value(rows_) AS rows_, min(bin) FILTER (WHERE 4 * run >= rows_) AS q1, min(bin) FILTER (WHERE 4 * run >= 3 * rows_) AS q3 FROM ({running}) GROUP BY ALL"
 
-    pick = lambda q: f"CASE WHEN s.rows_ >= {min_rows} THEN s.{q} WHEN l.rows_ >= {min_rows} THEN l.{q} ELSE w.{q} END AS {q}"
+    drawn = lambda t, own, to: f"(CAST({t}.rows_ AS DOUBLE) * CAST({own} AS DOUBLE) + {prior}::DOUBLE * {to}) / (CAST({t}.rows_ AS DOUBLE) + {prior}::DOUBLE)"
+    pick = lambda q: drawn("s", f"s.{q}", "(" + drawn("l", f"l.{q}", f"CAST(w.{q} AS DOUBLE)") + ")") + f" AS {q}"
     tests = []
     for m, (_, lower, least) in quality_rules.METRICS.items():
         wide = f"greatest(q3 - q1, {least}) * {spread}"
