@@ -288,6 +288,7 @@ def test_groups_equal_all_pairs(spark, made, k, percent):
 
 def test_groups_with_small_blocks(spark, made, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "SUBGROUP", 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(made, k=2, percent=60).collect()}
     assert got == brute_groups([tuple(r) for r in made.collect()], 2, 60)
 
