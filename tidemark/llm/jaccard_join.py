@@ -7,13 +7,13 @@ Sets are compared as sets of 64-bit shingle hashes; equal sets are one node. The
    each of which spoils one part, and there are H + 1 parts and some more for those empty in both. A set signs each of its
    parts in its own and the next lower class; only nodes with a common signature can be linked. A signature covers about five
    shingles, so a passage that many documents share, but little else, brings them together rarely.
-2. Groups. Each node joins the group of one of its signatures, the one that a seeded order puts first, so similar nodes meet;
-   a group is cut into blocks of at most ``BLOCK`` nodes and ``BLOCK_TOKENS`` tokens. In a block, a matrix of tokens against
+2. Groups. Each node joins the group of one of its signatures, first the one that a seeded order puts first, so similar nodes
+   meet, and in later rounds the one that most nodes have, so large families of texts do; a group is cut into blocks of at most ``BLOCK`` nodes and ``BLOCK_TOKENS`` tokens. In a block, a matrix of tokens against
    subgroups holds the union of each subgroup's tokens; the overlap of a node with a union bounds its overlap with every
    member, and only subgroups that the bound does not exclude are opened. Signatures are the tokens of a first matrix, which
    leaves the few nodes that may link; the shingles of those are the tokens of a second. A node of each linked part then
-   stands for it in the next round, under another order, until rounds find no more, so a large group of copies shrinks by
-   the size of a block each time.
+   stands for it in the next round, until rounds find no more, so a large group of copies shrinks by the size of a block
+   each time.
 3. Between groups. Where a signature still has nodes of different parts, those of the smaller part are queries to the blocks
    that have nodes of the larger. The matrix of signatures against blocks is a table, and a query's overlap with a block is a
    sum over its join. Blocks that this bound does not exclude have the union of their tokens stored, one row each; queries
@@ -46,10 +46,10 @@ from tidemark.llm.durable import release, save
 from tidemark.llm.graph import components
 from tidemark.llm.textvec import U64, chunks, hashes, mix, shingles, words
 
-BLOCK = 256
+BLOCK = 1024
 BLOCK_TOKENS = 1 << 20
 #: Nodes of a subgroup in a block.
-SUBGROUP = 16
+SUBGROUP = 32
 _COLUMNS = 1 << 13
 #: Sets that a task remembers having signed, so that copies sign once a task.
 _SEEN = 1 << 20
@@ -249,15 +249,15 @@ def shared(signed_rows: DataFrame) -> DataFrame:
 
 
 def classed(rows: DataFrame) -> DataFrame:
-    """``sig``, ``node``, ``hot`` and ``w`` of one signature for all that the same nodes have, ``w`` of them."""
+    """``sig``, ``node``, ``hot``, ``w`` and ``held`` of one signature for all that the same nodes have, ``w`` of them; ``held`` nodes."""
     held = rows.groupBy("sig", "hot").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    one = held.groupBy("n", "who").agg(F.min_by(F.struct("sig", "hot"), "sig").alias("s"), F.count("*").alias("w")).select("s.*", "w")
+    one = held.groupBy("n", "who").agg(F.min_by(F.struct("sig", "hot"), "sig").alias("s"), F.count("*").alias("w")).select("s.*", "w", F.col("n").alias("held"))
     return with_facts(rows, one, "sig", "node", hot="hot")
 
 
 def signed_sets(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``node``, ``id``, ``n``, ``sigs`` (``sig``, ``w``, ``hot``): the classes of signatures that a node shares; ``all``: how many."""
-    each = rows.groupBy("node").agg(F.collect_list(F.struct("sig", "w", "hot")).alias("sigs"), F.sum("w").alias("all"))
+    """``node``, ``id``, ``n``, ``sigs`` (``sig``, ``w``, ``hot``, ``held``): the classes of signatures that a node shares; ``all``: how many."""
+    each = rows.groupBy("node").agg(F.collect_list(F.struct("sig", "w", "hot", "held")).alias("sigs"), F.sum("w").alias("all"))
     return each.join(firsts.select("node", "id", "n"), "node").select("node", "id", "n", "all", "sigs")
 
 
@@ -406,10 +406,27 @@ def _sets_of(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return found, np.array([len(t) for t in found], np.int64)
 
 
-def placed(active: DataFrame, seed: int) -> DataFrame:
-    """``active`` with ``home`` (the signature whose group a node joins) and ``blk`` (its block there)."""
-    first = F.array_min(F.transform("sigs", lambda s: F.struct(F.xxhash64(s["sig"], F.lit(seed)).alias("o"), s["sig"].alias("sig"))))
+def gathered(homed: DataFrame) -> DataFrame:
+    """Moves homes to where most nodes with their signature live, so that a family of texts fills few blocks.
+
+    Such a home is never a rarer signature, so moves have no cycle; three steps of a chain are taken together.
+    """
+    lived = homed.select("home", F.explode("sigs.sig").alias("sig")).groupBy("sig", "home").agg(F.count("*").alias("n"))
+    best = lived.join(homed.select(F.col("home").alias("sig")).distinct(), "sig", "left_semi").groupBy("sig").agg(F.max(F.struct("n", "home")).getField("home").alias("to"))
+    step = save(best.where("sig <> to").select(F.col("sig").alias("home"), "to"), "moves")
+    whole = step
+    for _ in range(2):
+        whole = whole.join(step.select(F.col("home").alias("to"), F.col("to").alias("next")), "to", "left").select("home", F.coalesce("next", "to").alias("to"))
+    return with_facts(homed, whole, "home", "node", how="left").withColumn("home", F.coalesce("to", "home")).drop("to")
+
+
+def placed(active: DataFrame, seed: int, common: bool) -> DataFrame:
+    """``active`` with ``home`` (the signature whose group a node joins, by a seeded order or the ``common`` ones first) and
+    ``blk`` (its block there)."""
+    order = lambda s: F.struct((-s["held"] if common else F.lit(0).cast("bigint")).alias("h"), F.xxhash64(s["sig"], F.lit(seed)).alias("o"), s["sig"].alias("sig"))
+    first = F.array_min(F.transform("sigs", order))
     homed = active.withColumn("home", first.getField("sig"))
+    homed = gathered(homed) if common else homed
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int")
     large = homed.groupBy("home").agg(blocks.alias("blocks")).where("blocks > 1")
     return with_facts(homed, large, "home", "node", how="left").withColumn("blk", F.coalesce(F.pmod(F.xxhash64("node", F.lit(seed)), F.col("blocks")), F.lit(0)).cast("int")).drop("blocks")
@@ -522,19 +539,20 @@ def labels(rows: DataFrame, firsts: DataFrame, k: int, seed: int, percent: int,
     sign = lambda some, hot: signed(some, k, seed, percent, largest, hot)
     several = save(shared(sign(rows, hot_signatures(rows, sign))), "signatures")
     release(rows.sparkSession)  # the signatures' shuffle is the largest
-    nodes_ = save(placed(signed_sets(classed(several), firsts), seed), "signed")
-    found = links_in_blocks(rows, nodes_, k, seed, percent, largest)
-    rounds, turn = [found], 0
-    while not found.isEmpty():  # ends as every round leaves fewer parts
+    every = save(signed_sets(classed(several), firsts), "signed")
+    found = links_in_blocks(rows, placed(every, seed, False), k, seed, percent, largest)
+    nodes_ = save(placed(every, seed, True), "homes")
+    active, rounds, turn = nodes_.join(found.where("node <> root").select("node"), "node", "left_anti"), [found], 0
+    while not turn or not found.isEmpty():  # ends as every round leaves fewer parts
         turn += 1
-        active = nodes_.drop("home", "blk").join(found.select(F.col("root").alias("node")).distinct(), "node", "left_semi")
-        found = links_in_blocks(rows, save(placed(active, seed + turn), "active"), k, seed, percent, largest)
+        found = links_in_blocks(rows, active, k, seed, percent, largest)
         rounds.append(found)
+        active = save(placed(every.join(found.select(F.col("root").alias("node")).distinct(), "node", "left_semi"), seed + turn, True), "active")
     release(rows.sparkSession)
     near = rounds.pop()
     for lower in reversed(rounds):  # a root has at most a block of nodes
         up = near.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        near = lower.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        near = lower.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(near.join(lower, "node", "left_anti"))
     near = save(near.withColumnRenamed("root", "comp"), "near")
     sizes = near.groupBy("comp").agg(F.count("*").alias("size"))
     ranked = with_facts(near, sizes, "comp", "node").select("node", "comp", F.struct("size", "comp").alias("rank"))
