@@ -45,3 +45,15 @@ def unpack(data: Column) -> Column:
     starts = F.when(n > 0, F.sequence(F.lit(0), n - RECORD, F.lit(RECORD))).otherwise(F.array().cast("array<int>"))
     record = lambda at: F.struct(_number(data, at, 8).alias("slice_id"), _number(data, at + 8, 8).alias("off"), _number(data, at + 16, 4).alias("size"))
     return F.when(n % RECORD == 0, F.transform(starts, record))
+
+
+def sealed_name(name: Column) -> Column:
+    """The numbers in a sealed record's file name ``inode_chunk_seq_epoch_a_b.sealed``; null if the name is of another form."""
+    parts = F.split(F.regexp_extract(name, r"^(.*)\.sealed$", 1), "_")
+    fields = ["inode", "chunk_id", "local_seq", "epoch", "first", "second"]
+    plain = lambda i: F.when(F.get(parts, F.lit(i)).rlike(r"^\+?[0-9]+$"), F.get(parts, F.lit(i)).try_cast("decimal(20,0)"))
+    numbers = [F.when(plain(i).between(F.lit(0), F.lit(str(2**64 - 1)).cast("decimal(20,0)")), plain(i)).alias(f) for i, f in enumerate(fields)]
+    good = F.size(parts) == len(fields)
+    for n in numbers:
+        good = good & n.isNotNull()
+    return F.when(good, F.struct(*[n.alias(f) for n, f in zip(numbers, fields, strict=True)]))

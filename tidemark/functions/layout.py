@@ -56,3 +56,8 @@ def split_blocks(ranges: DataFrame, offset: str, length: str, block: int = BLOCK
     lo = F.greatest(F.col(offset), F.col("block") * block)
     hi = F.least(F.col(offset) + F.col(length), (F.col("block") + 1) * block)
     return rows.withColumn("block_off", lo - F.col("block") * block).withColumn("block_len", hi - lo)
+
+
+def chunk_range(index: Column, chunk: int = CHUNK) -> tuple[Column, Column]:
+    """The bytes ``[lo, hi)`` of a chunk in its file."""
+    return index * chunk, (index + 1) * chunk

@@ -44,9 +44,10 @@ def blocks_512(size: Column) -> Column:
     return F.call_function("div", size + 511, F.lit(512).cast("bigint"))
 
 
-def valid_name(name: Column, most: int = 255) -> Column:
-    """Whether a directory entry may have the name."""
-    return (F.octet_length(name).between(1, most)) & ~name.contains("/") & ~name.contains("\x00") & ~name.isin(".", "..")
+def valid_name(name: Column, most: int = 255, dots: bool = True) -> Column:
+    """Whether a directory entry may have the name; ``.`` and ``..`` may, unless ``dots`` is false."""
+    good = (F.octet_length(name).between(1, most)) & ~name.contains("/") & ~name.contains("\x00")
+    return good if dots else good & ~name.isin(".", "..")
 
 
 def path_parts(path: Column) -> Column:

@@ -46,16 +46,31 @@ def acl_errors(entries: DataFrame) -> DataFrame:
     return marked.groupBy("acl").agg(F.min_by("e", F.when(F.col("e").isNotNull(), F.col("place"))).alias("first"), (some & ~base).alias("short")).select("acl", F.coalesce("first", F.when(F.col("short"), "base entries")).alias("error"))
 
 
-def _overlap(a: str, b: str) -> Column:
-    return (F.col(f"{a}.end_off") > F.col(f"{b}.start_off")) & (F.col(f"{a}.start_off") < F.col(f"{b}.end_off"))
+#: Width of the spans by which locks meet, and how many of them a lock may touch before it counts as wide.
+LOCK_SPAN, WIDE = 4 << 10, 16
 
 
 def conflicts(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """``seq`` of asked and held locks of one inode that overlap, of different owners, one of them a writer."""
-    clash = (F.col("q.inode") == F.col("h.inode")) & (F.col("q.owner") != F.col("h.owner")) & _overlap("q", "h") & ((F.col("q.lock_type") == WRITE) | (F.col("h.lock_type") == WRITE))
-    locks = (READ, WRITE)
-    pairs = asked.where(F.col("lock_type").isin(*locks)).alias("q").join(held.where(F.col("lock_type").isin(*locks)).alias("h"), clash)
-    return pairs.select(F.col("q.inode"), F.col("q.seq").alias("seq"), F.col("h.seq").alias("held_seq"), F.col("h.owner").alias("held_owner"), F.col("h.start_off"), F.col("h.end_off"), F.col("h.lock_type").alias("held_type"))
+    """``seq`` of asked and held locks of one inode that overlap, of different owners, one of them a writer.
+
+    Locks meet in the spans of the file that they touch, each pair in the first that both do, so work in a busy file follows
+    its overlaps. Wide locks, which overlap most others, meet the locks of their file.
+    """
+    spans = F.sequence(F.floor(F.col("start_off") / LOCK_SPAN), F.floor((F.col("end_off") - 1) / LOCK_SPAN))
+    wide = F.col("end_off") - F.col("start_off") > WIDE * LOCK_SPAN
+    q, h = ({"all": t, "wide": t.where(wide), "short": t.where(~wide).withColumn("span", F.explode(spans))} for t in (df.where(F.col("lock_type").isin(READ, WRITE) & (F.col("end_off") > F.col("start_off"))) for df in (asked, held)))
+
+    def met(a: DataFrame, b: DataFrame, by_span: bool) -> DataFrame:
+        one, two = a.alias("q"), b.alias("h")
+        clash = (F.col("q.inode") == F.col("h.inode")) & (F.col("q.owner") != F.col("h.owner")) & ((F.col("q.lock_type") == WRITE) | (F.col("h.lock_type") == WRITE))
+        clash = clash & (F.col("q.end_off") > F.col("h.start_off")) & (F.col("q.start_off") < F.col("h.end_off"))
+        if by_span:
+            clash = clash & (F.col("q.span") == F.col("h.span")) & (F.col("q.span") == F.floor(F.greatest("q.start_off", "h.start_off") / LOCK_SPAN))
+        pairs = one.join(two, clash)
+        return pairs.select(F.col("q.inode"), F.col("q.seq").alias("seq"), F.col("h.seq").alias("held_seq"), F.col("h.owner").alias("held_owner"), F.col("h.start_off"), F.col("h.end_off"), F.col("h.lock_type").alias("held_type"))
+
+    narrow = asked.where(~wide & F.col("lock_type").isin(READ, WRITE) & (F.col("end_off") > F.col("start_off")))
+    return met(q["short"], h["short"], True).unionByName(met(q["wide"], h["all"], False)).unionByName(met(narrow, h["wide"], False))
 
 
 def blocking(asked: DataFrame, held: DataFrame) -> DataFrame:

@@ -133,3 +133,69 @@ def coalesce_runs(slices: DataFrame, *, allow_overlap: bool = False) -> DataFram
     clash = (F.col("chunk_id") == F.col("c")) & (F.col("run") != F.col("r")) & (F.col("off") < F.col("hi")) & (F.col("lo") < F.col("end"))
     free = made.join(other, clash, "left_anti")
     return free.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("lo", "hi", "run"))).where("k = 1").select("chunk_id", "lo", "hi", "n")
+
+
+def append_order(slices: DataFrame, order: str = "slice_id") -> DataFrame:
+    """The slices of each chunk with their ``place`` in the order in which they were appended."""
+    return slices.withColumn("place", F.row_number().over(Window.partitionBy("chunk_id").orderBy(order)).cast("bigint"))
+
+
+def chunk_ids(slices: DataFrame, after: int | None = None, limit: int | None = None) -> DataFrame:
+    """Distinct ``chunk_id`` in order, the first ``limit`` above the cursor ``after``; the last one is the next cursor."""
+    rows = slices.select("chunk_id").distinct()
+    rows = rows if after is None else rows.where(F.col("chunk_id") > after)
+    return rows if limit is None else rows.orderBy("chunk_id").limit(limit)
+
+
+def unchanged(expected: DataFrame, current: DataFrame) -> DataFrame:
+    """``chunk_id`` and ``unchanged`` of every expected chunk: whether it still has just the slices that a plan was made from."""
+    key = ["chunk_id", "slice_id"]
+    left, right = (df.select(*key, F.struct("off", "len").alias(c)) for df, c in ((expected, "was"), (current, "is")))
+    both = left.join(right, key, "full_outer").groupBy("chunk_id").agg(F.count("was").alias("asked"), F.bool_and(F.coalesce(F.col("was") == F.col("is"), F.lit(False))).alias("unchanged"))
+    return both.where("asked > 0").select("chunk_id", "unchanged")
+
+
+def heavy_plan(slices: DataFrame, chosen: DataFrame, next_slice: int, chunk: int) -> DataFrame:
+    """Of every chosen chunk ``new_slice`` (numbers from ``next_slice`` on in order of chunks), ``off``, ``len`` and ``delayed``, the ids it replaces.
+
+    New numbers are given out by ranges of chunks, a count of each before those within it, so no task orders all of them.
+    """
+    ids = slices.join(chosen.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.sort_array(F.collect_list("slice_id")).alias("delayed"))
+    return numbered(ids, "chunk_id").select("chunk_id", (F.col("number") + next_slice).alias("new_slice"), F.lit(0).cast("bigint").alias("off"), F.lit(chunk).cast("bigint").alias("len"), "delayed")
+
+
+def numbered(rows: DataFrame, order: str, span: int = 1 << 12) -> DataFrame:
+    """``rows`` with ``number``, their place from 0 in the order of a whole-number column without repeats."""
+    ranged = rows.withColumn("__range", div(F.col(order), span))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    here = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
+    return ranged.withColumn("__here", here).join(before, "__range").withColumn("number", F.col("__before") + F.col("__here")).drop("__range", "__before", "__here")
+
+
+def overlay_dirty(committed: DataFrame, dirty: DataFrame) -> DataFrame:
+    """``chunk_id``, ``lo``, ``hi``, ``source`` and ``slice_id``: which slice serves each byte when unsaved writes lie over saved ones.
+
+    Saved slices go by ``slice_id``; unsaved ones by ``write_order``, those without one (0) first, and by ``position`` among equals.
+    """
+    saved = committed.select("chunk_id", "off", "len", F.struct(F.lit(0).alias("over"), F.lit(0).alias("ordered"), F.lit(0).cast("bigint").alias("o"), F.col("slice_id").cast("bigint").alias("p")).alias("age"), F.struct(F.lit("saved").alias("source"), "slice_id").alias("v"))
+    order = F.col("write_order").cast("bigint")
+    fresh = dirty.select("chunk_id", "off", "len", F.struct(F.lit(1).alias("over"), (order != 0).cast("int").alias("ordered"), order.alias("o"), F.col("position").cast("bigint").alias("p")).alias("age"), F.struct(F.lit("dirty").alias("source"), "slice_id").alias("v"))
+    return visible(saved.unionByName(fresh), "age", value="v").select("chunk_id", "lo", "hi", "v.*")
+
+
+def assembled(pages: DataFrame, page: int, block: int) -> DataFrame:
+    """``file``, ``block`` and ``pages`` (write numbers in order) of the blocks that have all their pages.
+
+    ``pages`` has ``file``, ``off``, ``unique`` and ``seq`` (arrival): an older write than the page's is refused, an equal one
+    replaces it, so the largest number stays, and of equals the last to arrive.
+    """
+    last = pages.groupBy("file", "off").agg(F.max(F.struct("unique", "seq")).alias("w"))
+    made = last.groupBy("file", div(F.col("off"), block).alias("block")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("off", F.col("w.seq").alias("seq")))).alias("p"))
+    return made.where(F.col("n") == block // page).select("file", "block", F.col("p.seq").alias("pages"))
+
+
+def subtract(ranges: DataFrame, cuts: DataFrame, key: str = "chunk_id", span: int = SPAN) -> DataFrame:
+    """``key``, ``lo``, ``hi``: the bytes of ``ranges`` (``off``, ``len``) that no range of ``cuts`` has, adjacent ones merged."""
+    rows = ranges.select(key, "off", "len", F.lit(0).alias("cut")).unionByName(cuts.select(key, "off", "len", F.lit(1).alias("cut")))
+    return visible(rows, "cut", (key,), "cut", span).where("cut = 0").select(key, "lo", "hi")

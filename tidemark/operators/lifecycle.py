@@ -57,13 +57,17 @@ def held(named: DataFrame, now: int) -> DataFrame:
     return named.withColumn("held", F.col("expire") > now)
 
 
-def lru_evictions(files: DataFrame, to_free: int, tasks: int = 0) -> DataFrame:
+def lru_evictions(files: DataFrame, to_free: int, ranges: int = 4096) -> DataFrame:
     """The least recently used files (``path``, ``size``, ``atime``) whose removal frees enough, with bytes freed before each.
 
-    Sizes are summed by access time before the running sum, so the ordered pass sees one row an access time.
+    Sizes are summed by ranges of access time before the running sum, which so sees ``ranges`` rows; files are ordered within
+    their range alone, and only in those ranges that are reached.
     """
-    by_time = files.groupBy("atime").agg(F.sum("size").alias("s"))
-    before = by_time.withColumn("prior", F.coalesce(F.sum("s").over(Window.orderBy("atime").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("prior") < to_free)
-    here = Window.partitionBy("atime").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = files.join(before.select("atime", "prior"), "atime").withColumn("freed_before", F.col("prior") + F.coalesce(F.sum("size").over(here), F.lit(0)))
+    lo, hi = files.agg(F.min("atime"), F.max("atime")).first()
+    width = ((hi or 0) - (lo or 0)) // ranges + 1
+    ranged = files.withColumn("range", F.call_function("div", F.col("atime") - F.lit(lo or 0), F.lit(width).cast("bigint")))
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("s"))
+    before = sums.withColumn("prior", F.coalesce(F.sum("s").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("prior") < to_free)
+    here = Window.partitionBy("range").orderBy("atime", "path").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.join(before.select("range", "prior"), "range").withColumn("freed_before", F.col("prior") + F.coalesce(F.sum("size").over(here), F.lit(0)))
     return ranked.where(F.col("freed_before") < to_free).select("path", "size", "atime", "freed_before")

@@ -9,14 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROOT = 1
-#: Levels after which rows are materialised, as plans of deep trees would grow too long.
-CUT_LEVELS = 8
-
+from tidemark.functions.text import normal_path, path_parts
+from tidemark.sources.scratch import keep
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """The rows with a new lineage, kept in the checkpoint folder if the session has one."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+ROOT = 1
 
 
 def lookup(dentry: DataFrame, asked: DataFrame) -> DataFrame:
@@ -70,43 +66,118 @@ def dangling(dentry: DataFrame, known: DataFrame) -> DataFrame:
 def paths_up(dentry: DataFrame, asked: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``inode`` and ``path`` of every way from the root to the asked inodes; broken chains and cycles are left out.
 
-    Ways may be as deep as the tree, or ``max_depth`` if given.
+    Ways may be as deep as the tree, or ``max_depth`` if given. The paths of directories, which are few, are made level by
+    level from the root, each level from the one before; all entries are then joined with their directory once.
     """
-    up = dentry.select(F.col("inode").alias("at"), F.col("parent").alias("next"), "name")
-    start = asked.select("inode").distinct()
-    live = start.select("inode", F.col("inode").alias("at"), F.lit("").alias("path"), F.array("inode").alias("seen"))
-    done = live.where(F.col("at") == ROOT).select("inode", F.lit("/").alias("path"))
-    level = 0
-    while max_depth is None or level < max_depth:
-        level += 1
-        step = live.where(F.col("at") != ROOT).join(up, "at").where(~F.array_contains("seen", F.col("next")))
-        live = step.select("inode", F.col("next").alias("at"), F.concat(F.lit("/"), "name", "path").alias("path"), F.concat("seen", F.array("next")).alias("seen"))
-        if level % CUT_LEVELS == 0:
-            live, done = _cut(live), _cut(done)
-        if live.isEmpty():
-            break
-        done = done.unionByName(live.where(F.col("at") == ROOT).select("inode", "path"))
-    return done.distinct()
+    dirs = dentry.join(dentry.select(F.col("parent").alias("inode")).distinct(), "inode", "left_semi").select(F.col("parent").alias("up"), "name", F.col("inode").alias("at"))
+    level = keep(dentry.sparkSession.sql(f"select cast({ROOT} as bigint) as at, '' as path, array(cast({ROOT} as bigint)) as seen"), "level")
+    found, depth = level, 1
+    while (max_depth is None or depth < max_depth) and not level.isEmpty():
+        step = level.select(F.col("at").alias("up"), F.col("path").alias("above"), "seen").join(dirs, "up").where(~F.array_contains("seen", F.col("at")))
+        level = keep(step.select("at", F.concat("above", F.lit("/"), "name").alias("path"), F.concat("seen", F.array("at")).alias("seen")), "level")
+        found, depth = found.unionByName(level), depth + 1
+    wanted = asked.select("inode").distinct()
+    entries = dentry.join(wanted, "inode", "left_semi").select("inode", F.col("parent").alias("at"), "name")
+    under = entries.join(found, "at").where(~F.array_contains("seen", F.col("inode"))).select("inode", F.concat("path", F.lit("/"), "name").alias("path"))
+    return under.unionByName(wanted.where(F.col("inode") == ROOT).select("inode", F.lit("/").alias("path"))).distinct()
 
 
 def walk(dentry: DataFrame, asked: DataFrame) -> DataFrame:
     """``path``, ``inode`` and ``type`` of each asked path; null inode if a part is missing or lies under a non-directory."""
-    from tidemark.functions.text import path_parts
-
     down = dentry.select(F.col("parent").alias("at"), F.col("name").alias("part"), F.col("inode").alias("to"), F.col("type").alias("to_type"))
-    live = asked.select("path").distinct().withColumn("parts", path_parts(F.col("path"))).select("path", "parts", F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"))
+    paths = asked.select("path").distinct()
+    live = keep(paths.withColumn("parts", path_parts(F.col("path"))).select("path", "parts", F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i")), "walk")
     done = live.where(F.size("parts") == 0).select("path", F.col("at").alias("inode"), "type")
-    level = 0
-    while True:  # ends with the longest path's parts
-        level += 1
+    while not live.isEmpty():  # ends with the longest path's parts
         step = live.where((F.size("parts") > F.col("i")) & (F.coalesce("type", F.lit(0)) == 1)).withColumn("part", F.get("parts", F.col("i")))
-        live = step.join(down, ["at", "part"]).select("path", "parts", F.col("to").alias("at"), F.col("to_type").alias("type"), (F.col("i") + 1).alias("i"))
-        if level % CUT_LEVELS == 0:
-            live, done = _cut(live), _cut(done)
-        if live.isEmpty():
-            break
+        live = keep(step.join(down, ["at", "part"]).select("path", "parts", F.col("to").alias("at"), F.col("to_type").alias("type"), (F.col("i") + 1).alias("i")), "walk")
         done = done.unionByName(live.where(F.size("parts") == F.col("i")).select("path", F.col("at").alias("inode"), "type"))
-    return asked.select("path").distinct().join(done, "path", "left")
+    return paths.join(done, "path", "left")
+
+
+def resolve(dentry: DataFrame, targets: DataFrame, asked: DataFrame, *, follow: bool = True, max_links: int = 40) -> DataFrame:
+    """``path``, ``inode`` and ``outcome`` (ok, missing, not a directory, too many links) of each asked path, through symbolic links.
+
+    ``targets`` has ``inode`` and ``target`` of links. A link in the middle of a path is always followed, one at its end if
+    ``follow``. A followed link starts the walk anew from the root: a relative target counts from the directory that holds the
+    link, and what is left of the path comes after it. All paths take their next step together, one join a step.
+    """
+    down = dentry.join(targets.select("inode", "target"), "inode", "left").select(F.col("parent").alias("at"), F.col("name").alias("part"), F.col("inode").alias("to"), F.col("type").alias("to_type"), "target")
+    paths = asked.select("path").distinct()
+    columns = ["path", "parts", "at", "type", "i", "links"]
+    live = keep(paths.select("path", path_parts(F.col("path")).alias("parts"), F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"), F.lit(0).alias("links")), "resolve")
+    ends = F.col("i") >= F.size("parts")
+    verdict = F.when(F.col("links") >= max_links, "too many links").when(ends, "ok").when(F.coalesce("type", F.lit(0)) != 1, "not a directory")
+    done = None
+    while not live.isEmpty():  # ends with the longest path, or with the limit of links
+        judged = live.withColumn("outcome", verdict)
+        stopped = judged.where("outcome is not null").select("path", F.when(F.col("outcome") == "ok", F.col("at")).alias("inode"), "outcome")
+        step = judged.where("outcome is null").withColumn("part", F.get("parts", F.col("i"))).drop("outcome").join(down, ["at", "part"], "left")
+        tail = F.col("i") + 1 == F.size("parts")
+        jump = F.col("target").isNotNull() & (~tail | F.lit(follow))
+        base = F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.col("i")), "/"))
+        whole = F.concat_ws("/", F.when(~F.startswith("target", F.lit("/")), base), "target", F.array_join(F.slice("parts", F.col("i") + 2, F.size("parts")), "/"))
+        after = F.when(jump, F.struct(path_parts(normal_path(whole)).alias("parts"), F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"), (F.col("links") + 1).alias("links")))
+        after = after.otherwise(F.struct("parts", F.col("to").alias("at"), F.col("to_type").alias("type"), (F.col("i") + 1).alias("i"), "links"))
+        lost = step.where("to is null").select("path", F.lit(None).cast("bigint").alias("inode"), F.lit("missing").alias("outcome"))
+        moved = keep(step.where("to is not null").select("path", after.alias("s")).select("path", "s.*").select(*columns), "resolve")
+        ended = keep(stopped.unionByName(lost), "resolved")
+        done = ended if done is None else done.unionByName(ended)
+        live = moved
+    return done if done is not None else paths.select("path", F.lit(None).cast("bigint").alias("inode"), F.lit("").alias("outcome"))
+
+
+def names(dentry: DataFrame, asked: DataFrame) -> DataFrame:
+    """``inode``, ``parent``, ``name`` and ``place`` of all names of the asked inodes, by parent and name; the root's is ``/`` without
+    a parent, and a directory has one name."""
+    wanted = asked.select("inode").distinct()
+    w = Window.partitionBy("inode").orderBy("parent", "name")
+    found = dentry.where(F.col("inode") != ROOT).join(wanted, "inode", "left_semi").withColumn("place", F.row_number().over(w).cast("bigint"))
+    found = found.where((F.col("type") != 1) | (F.col("place") == 1)).select("inode", "parent", "name", "place")
+    return found.unionByName(wanted.where(F.col("inode") == ROOT).select("inode", F.lit(None).cast("bigint").alias("parent"), F.lit("/").alias("name"), F.lit(1).cast("bigint").alias("place")))
+
+
+def xattrs(known: DataFrame) -> DataFrame:
+    """``inode``, ``names`` in order and ``values`` by name."""
+    pairs = F.sort_array(F.collect_list(F.struct("name", "value")))
+    return known.groupBy("inode").agg(pairs.alias("p")).select("inode", F.col("p.name").alias("names"), F.map_from_entries("p").alias("values"))
+
+
+def replay(dentry: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries after operations ``seq``, ``op`` (create, mkdir, link, unlink), ``parent``, ``name``, ``inode``, ``type``, and the
+    ``outcome`` of each ``seq``.
+
+    After an operation a name is there, or is gone, whether it succeeded or not, so an outcome depends only on the one before
+    it on that name. Creating fails on a name that is there (exists), unlinking on one that is not (missing). A directory is
+    the exception: from the first that takes a name on, nothing here removes it (is a directory).
+    """
+    first = dentry.select(F.lit(-1).cast("bigint").alias("seq"), F.lit("there").alias("op"), "parent", "name", "inode", "type")
+    rows = ops.select(F.col("seq").cast("bigint").alias("seq"), "op", "parent", "name", "inode", "type").unionByName(first)
+    name = Window.partitionBy("parent", "name")
+    makes, last = F.col("op") != "unlink", F.lag("op").over(name.orderBy("seq"))
+    rows = rows.withColumn("__absent", last.isNull() | (last == "unlink")).withColumn("__run", F.sum(F.when(last == "unlink", 1).otherwise(0)).over(name.orderBy("seq")))
+    took = makes & F.col("__absent") & (F.col("type") == 1)
+    rows = rows.withColumn("__dir", F.min(F.when(took, F.struct("seq", "inode", "type"))).over(name))
+    rows = rows.withColumn("__holder", F.min(F.when(makes, F.struct("seq", "inode", "type"))).over(Window.partitionBy("parent", "name", "__run")))
+    fixed = F.coalesce(F.col("seq") > F.col("__dir.seq"), F.lit(False))
+    outcome = F.when(fixed & ~makes, "is a directory").when(makes, F.when(F.col("__absent") & ~fixed, "ok").otherwise("exists")).otherwise(F.when(F.col("__absent"), "missing").otherwise("ok"))
+    ends = rows.groupBy("parent", "name").agg(F.max_by(F.when(makes, F.col("__holder")), "seq").alias("file"), F.first("__dir").alias("dir"))
+    held = F.coalesce("dir", "file")
+    entries = ends.where(held.isNotNull()).select("parent", "name", held.getField("inode").alias("inode"), held.getField("type").alias("type"))
+    return entries, rows.where("op <> 'there'").select("seq", outcome.alias("outcome"))
+
+
+def link_changes(files: DataFrame, dentry: DataFrame, ops: DataFrame) -> DataFrame:
+    """``inode``, ``nlink``, ``deleted`` and ``parent`` of files after unlinking the entries ``ops`` (``parent``, ``name``).
+
+    A file without entries is deleted, with no links and parent 0; one with one left has its directory for a parent; one with
+    more keeps the parent it had.
+    """
+    gone = dentry.join(ops.select("parent", "name").distinct(), ["parent", "name"], "left_semi").where("type <> 1").groupBy("inode").agg(F.count("*").alias("n"))
+    left = dentry.join(ops.select("parent", "name").distinct(), ["parent", "name"], "left_anti").groupBy("inode").agg(F.min("parent").alias("one"))
+    rows = files.join(gone, "inode").join(left, "inode", "left")
+    n = F.greatest(F.col("nlink") - F.col("n"), F.lit(0)).cast("bigint")
+    return rows.select("inode", n.alias("nlink"), (n == 0).alias("deleted"), F.when(n == 0, 0).when(n == 1, F.coalesce("one", "parent")).otherwise(F.col("parent")).cast("bigint").alias("parent"))
 
 
 def listing(dentry: DataFrame, attrs: DataFrame, acls: DataFrame) -> DataFrame:
@@ -147,10 +218,30 @@ def set_attrs(attrs: DataFrame, changes: DataFrame, columns: list[str]) -> DataF
     return attrs.join(new, "inode", "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
 
 
+def renamed(dentry: DataFrame, moves: DataFrame) -> DataFrame:
+    """``id``, ``outcome`` and the inodes ``src_after``, ``dst_after`` under both names after each move, each judged alone.
+
+    ``moves`` has ``id``, ``src_parent``, ``src_name``, ``dst_parent``, ``dst_name`` and ``flag``: null replaces a target, ``noreplace``
+    fails if there is one (exists), ``exchange`` swaps both and fails without one (missing).
+    """
+    side = lambda x: dentry.select(F.col("parent").alias(f"{x}_parent"), F.col("name").alias(f"{x}_name"), F.col("inode").alias(f"{x}_inode"), F.col("type").alias(f"{x}_type"))
+    rows = moves.join(side("src"), ["src_parent", "src_name"], "left").join(side("dst"), ["dst_parent", "dst_name"], "left")
+    plain = rename_allowed(rows, dentry)
+    none = F.col("dst_inode").isNull()
+    swap, strict = F.coalesce(F.col("flag") == "exchange", F.lit(False)), F.coalesce(F.col("flag") == "noreplace", F.lit(False))
+    outcome = F.when(F.col("src_inode").isNull() | (swap & none), "missing").when(swap, "ok").when(strict & ~none, "exists").otherwise(F.col("verdict"))
+    done = plain.withColumn("outcome", outcome)
+    ok = F.col("outcome") == "ok"
+    src = F.when(~ok, F.col("src_inode")).when(swap, F.col("dst_inode"))
+    return done.select("id", "outcome", src.alias("src_after"), F.when(ok, F.col("src_inode")).otherwise(F.col("dst_inode")).alias("dst_after"))
+
+
 def fallocate(asked: DataFrame, attrs: DataFrame, block: int = 4096) -> DataFrame:
-    """``size`` and ``blocks`` (of 512 bytes) after reserving ranges: the largest end, and the aligned span of every call."""
-    div = lambda c: F.call_function("div", c, F.lit(block).cast("bigint"))
+    """``size`` and ``blocks`` (of 512 bytes) after reserving ranges: the largest end, and the aligned span of every call added to
+    the blocks that the file had, or without a record of them those of its size."""
+    div = lambda c, by: F.call_function("div", c, F.lit(by).cast("bigint"))
     end = F.col("off") + F.col("len")
-    span = (div(end + (block - 1)) - div(F.col("off"))) * (block // 512)
+    span = (div(end + (block - 1), block) - div(F.col("off"), block)) * (block // 512)
     sums = asked.where("len > 0").groupBy("inode").agg(F.max(end).alias("end"), F.sum(span).alias("added"))
-    return attrs.join(sums, "inode", "left").select("inode", F.greatest("size", F.coalesce("end", "size")).alias("size"), F.coalesce("added", F.lit(0)).alias("blocks"))
+    had = F.coalesce("blocks", div(F.col("size") + 511, 512)) if "blocks" in attrs.columns else div(F.col("size") + 511, 512)
+    return attrs.join(sums, "inode", "left").select("inode", F.greatest("size", F.coalesce("end", "size")).alias("size"), (had + F.coalesce("added", F.lit(0))).alias("blocks"))

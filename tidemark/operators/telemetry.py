@@ -8,25 +8,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import delta_percent
+from tidemark.functions.text import delta_percent, readable_latency
 
 MIB, GIB = float(1 << 20), float(1 << 30)
-#: Ratio, numerator, denominator and the denominator's divisor, over short counter names.
+#: Ratio, the counters over and under the line (names as in counter files, after their prefix), what the lower
+#: one is divided by, and the unit.
 RATIOS = [
-    ("upload_byte_amp", "put_bytes", "write_bytes", 1.0),
-    ("writeback_upload_byte_amp", "uploaded_bytes", "write_bytes", 1.0),
-    ("put_avg_object_mib", "put_bytes", "put_ops", 1 / MIB),
-    ("get_avg_object_mib", "get_bytes", "get_ops", 1 / MIB),
-    ("put_ops_per_gib_written", "put_ops", "write_bytes", GIB),
-    ("get_ops_per_gib_read", "get_ops", "read_bytes", GIB),
-    ("avg_live_slice_mib", "live_bytes", "live_slices", 1 / MIB),
-    ("avg_pending_slice_mib", "pending_bytes", "pending_slices", 1 / MIB),
-    ("avg_upload_batch_mib", "batch_bytes", "batch_ops", 1 / MIB),
-    ("avg_upload_batch_blocks", "batch_blocks", "batch_ops", 1.0),
-    ("single_block_batch_ratio", "batch_single", "batch_ops", 1.0),
-    ("partial_tail_ratio", "partial_tails", "batch_ops", 1.0),
-    ("puts_per_upload_batch", "put_ops", "batch_ops", 1.0),
+    ("upload_byte_amp", "s3_put_bytes_total", "fuse_write_bytes_total", 1.0, "ratio"),
+    ("writeback_upload_byte_amp", "writeback_recent_uploaded_bytes", "fuse_write_bytes_total", 1.0, "ratio"),
+    ("s3_put_avg_object_mib", "s3_put_bytes_total", "s3_put_ops_total", 1 / MIB, "MiB/op"),
+    ("s3_get_avg_object_mib", "s3_get_bytes_total", "s3_get_ops_total", 1 / MIB, "MiB/op"),
+    ("put_ops_per_gib_written", "s3_put_ops_total", "fuse_write_bytes_total", GIB, "ops/GiB"),
+    ("get_ops_per_gib_read", "s3_get_ops_total", "fuse_read_bytes_total", GIB, "ops/GiB"),
+    ("writeback_avg_live_slice_mib", "writeback_live_dirty_bytes", "writeback_live_slices", 1 / MIB, "MiB/slice"),
+    ("writeback_avg_recent_pending_slice_mib", "writeback_recent_pending_upload_bytes", "writeback_recent_pending_upload_slices", 1 / MIB, "MiB/slice"),
+    ("writeback_avg_upload_batch_mib", "writeback_upload_batch_bytes_total", "writeback_upload_batch_ops_total", 1 / MIB, "MiB/op"),
+    ("writeback_avg_upload_batch_blocks", "writeback_upload_batch_blocks_total", "writeback_upload_batch_ops_total", 1.0, "blocks/op"),
+    ("writeback_single_block_batch_ratio", "writeback_upload_batch_single_block_ops_total", "writeback_upload_batch_ops_total", 1.0, "ratio"),
+    ("writeback_partial_tail_ratio", "writeback_upload_partial_tail_ops_total", "writeback_upload_batch_ops_total", 1.0, "ratio"),
+    ("s3_puts_per_upload_batch", "s3_put_ops_total", "writeback_upload_batch_ops_total", 1.0, "ops/batch"),
 ]
+#: The place of each kind of metric in reports; others come after them.
+KIND_ORDER = {"summary": 0, "fio": 1, "runtime": 2, "drain": 3, "stats": 4, "amplification": 5}
+#: Percentiles of a latency table, as job results name them.
+PERCENTILES = {"p1": "1.000000", "p5": "5.000000", "p25": "25.000000", "p50": "50.000000", "p75": "75.000000", "p90": "90.000000", "p95": "95.000000", "p99": "99.000000", "p99.9": "99.900000"}
 
 
 def op_totals(jobs: DataFrame) -> DataFrame:
@@ -143,3 +148,44 @@ def runtimes(metrics: DataFrame) -> DataFrame:
     ]
     rows = wide.select("item", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("num"), F.lit(u).alias("unit")) for n, v, u in made])).alias("m"))
     return rows.select(F.lit("runtime").alias("kind"), "item", "m.*").where("num is not null")
+
+
+def amplification(counters: DataFrame, prefix: str = "") -> DataFrame:
+    """The 13 ratios of counters ``item``, ``name``, ``value`` as metrics; ``prefix`` is what names begin with in the files."""
+    plain = counters.withColumn("name", F.regexp_replace("name", f"^{prefix}", ""))
+    units = {name: unit for name, *_, unit in RATIOS}
+    of_unit = F.element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), F.col("metric"))
+    return ratios(plain, [r[:4] for r in RATIOS]).select(F.lit("amplification").alias("kind"), "item", "metric", "num", of_unit.alias("unit"))
+
+
+def in_kind_order(metrics: DataFrame) -> DataFrame:
+    """Metrics in the order of reports: by kind, item and metric."""
+    place = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in KIND_ORDER.items() for x in pair]), F.col("kind")), F.lit(99))
+    return metrics.withColumn("place", place).orderBy("place", "item", "metric")
+
+
+def percentile_table(latencies: DataFrame) -> DataFrame:
+    """``item``, ``op`` and readable ``p1`` to ``p99.9`` of rows ``item``, ``op``, ``percentile`` (a map in ns); items without any are left out."""
+    got = latencies.where(F.size("percentile") > 0)
+    return got.select("item", "op", *[readable_latency(F.coalesce(F.try_element_at("percentile", F.lit(k)), F.lit(0.0))).alias(name) for name, k in PERCENTILES.items()])
+
+
+def workload_compare(base: DataFrame, new: DataFrame) -> DataFrame:
+    """``item``, ``metric``, ``before``, ``after`` and ``delta`` of workloads in both runs (``item``, ``read_bw``, ``write_bw``, ``read_p99``,
+    ``write_p99``): bandwidths where both are positive, latencies where the first is."""
+    named = [("Read BW", "read_bw", True), ("Write BW", "write_bw", True), ("Read P99", "read_p99", False), ("Write P99", "write_p99", False)]
+    both = base.alias("b").join(new.alias("c"), "item")
+    rows = []
+    for name, c, both_positive in named:
+        b, n = F.coalesce(F.col(f"b.{c}"), F.lit(0.0)), F.coalesce(F.col(f"c.{c}"), F.lit(0.0))
+        delta = (n - b) / b * 100.0
+        said = F.concat(F.when(delta > 0, "+").otherwise(""), F.format_string("%.1f%%", delta))
+        there = (b > 0) & (n > 0) if both_positive else (b > 0) & F.col(f"b.{c}").isNotNull() & F.col(f"c.{c}").isNotNull()
+        rows.append(F.when(there, F.struct(F.lit(name).alias("metric"), b.alias("before"), n.alias("after"), said.alias("delta"))))
+    return both.select("item", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("item", "r.*")
+
+
+def first_of_each(rows: DataFrame, title: str, *order: str) -> DataFrame:
+    """One row a title, the first in order, numbered by it."""
+    kept = rows.withColumn("__k", F.row_number().over(Window.partitionBy(title).orderBy(*order))).where("__k = 1").drop("__k")
+    return kept.withColumn("number", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

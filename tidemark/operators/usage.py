@@ -42,3 +42,21 @@ def size_after(writes: DataFrame, old: DataFrame) -> DataFrame:
     """File sizes after writes: the largest end of any, or the old size."""
     ends = writes.groupBy("inode").agg(F.max(F.col("off") + F.col("len")).alias("end"))
     return old.join(ends, "inode", "left").select("inode", F.greatest("size", F.coalesce("end", "size")).alias("size"))
+
+
+def usage_of_nodes(nodes: DataFrame) -> DataFrame:
+    """One row ``used_space``, ``used_inodes`` of stores that keep all nodes alike (``kind``, ``size``, ``blocks``, ``deleted``, ``nlink``).
+
+    Nodes that are deleted or have no link do not count; directories count as inodes but not with their bytes.
+    """
+    live = nodes.where("not deleted and nlink > 0")
+    own = F.when(F.col("kind") != "dir", used_bytes(F.col("size"), F.col("blocks")))
+    return live.agg(F.coalesce(F.sum(own), F.lit(0)).alias("used_space"), F.count("*").alias("used_inodes"))
+
+
+def next_ids(dirs: DataFrame, files: DataFrame, slices: DataFrame) -> DataFrame:
+    """One row ``next_inode`` (at least 2, as the root is 1) and ``next_slice`` after the largest that are stored."""
+    top = lambda rows, c, kind: rows.agg(F.max(c).alias("top")).select(F.lit(kind).alias("kind"), "top")
+    tops = top(dirs, "inode", "inode").unionByName(top(files, "inode", "inode")).unionByName(top(slices, "slice_id", "slice"))
+    most = lambda kind, least: F.greatest(F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("top"))), F.lit(0)), F.lit(least)) + 1
+    return tops.agg(most("inode", 1).alias("next_inode"), most("slice", 0).alias("next_slice"))

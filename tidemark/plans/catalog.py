@@ -1,34 +1,16 @@
-"""Every query of the library by name, over the views of a folder, and its SQL twin."""
+"""Queries over the views of a folder, and their SQL twins; ``metadata`` and ``reporting`` register more."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec, layout, text
 from tidemark.operators import access, activity, extents, fleet, lifecycle, namespace, telemetry, usage
-from tidemark.sources.tables import table, view, with_views
+from tidemark.plans.registry import QUERIES, SQL, query
+from tidemark.sources.tables import table, view
 from tidemark.streaming import feeds
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` goes after the views as common tables."""
-
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = f"{with_views(*views)}{',' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}" if views else sql
-        return f
-
-    return add
-
-
 # Extents
 
 FRAG = """+ reach AS (SELECT *, off + len AS e, max(off + len) OVER (PARTITION BY chunk_id ORDER BY off, off + len ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM slices),
@@ -146,19 +128,13 @@ def write_coalesce_runs(spark: SparkSession, folder: str) -> DataFrame:
 # Namespace
 
 
-@query("ns_lookup", "SELECT d.parent, d.name, d.inode, d.type FROM dentry d WHERE d.inode % 3 = 0 UNION ALL SELECT 1, 'missing', NULL, NULL", ("dentry",))
+@query("ns_lookup", "SELECT d.parent, d.name, d.inode, d.type FROM dentry d UNION ALL SELECT 1, 'missing', NULL, NULL", ("dentry",))
 def ns_lookup(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
-    asked = dentry.where("inode % 3 = 0").select("parent", "name").unionByName(spark.sql("select cast(1 as bigint) as parent, 'missing' as name"))
+    asked = dentry.select("parent", "name").unionByName(spark.sql("select cast(1 as bigint) as parent, 'missing' as name"))
     return namespace.lookup(dentry, asked)
 
 
-@query("ns_lookup_all", "SELECT parent, name, inode, type FROM dentry UNION ALL SELECT 1, 'missing', NULL, NULL", ("dentry",))
-def ns_lookup_all(spark: SparkSession, folder: str) -> DataFrame:
-    dentry = view(spark, folder, "dentry")
-    return namespace.lookup(dentry, dentry.select("parent", "name").unionByName(spark.sql("select cast(1 as bigint) as parent, 'missing' as name")))
-
-
 @query("ns_lookup_folded", "SELECT parent, upper(name) AS name, inode FROM dentry WHERE type = 0 UNION ALL SELECT 1, 'nowhere', NULL", ("dentry",))
 def ns_lookup_folded(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
@@ -166,32 +142,16 @@ def ns_lookup_folded(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.lookup_folded(dentry, asked).select("parent", "name", "inode")
 
 
-@query("ns_readdir", "SELECT parent, name, inode, row_number() OVER (PARTITION BY parent ORDER BY name) AS place FROM dentry WHERE parent < 2000000", ("dentry",))
+@query("ns_readdir", "SELECT parent, name, inode, row_number() OVER (PARTITION BY parent ORDER BY name) AS place FROM dentry", ("dentry",))
 def ns_readdir(spark: SparkSession, folder: str) -> DataFrame:
-    dentry = view(spark, folder, "dentry")
-    return namespace.readdir(dentry, dentry.where("parent < 2000000").select("parent")).select("parent", "name", "inode", "place")
-
-
-@query("ns_readdir_all", "SELECT parent, name, inode, row_number() OVER (PARTITION BY parent ORDER BY name) AS place FROM dentry", ("dentry",))
-def ns_readdir_all(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
     return namespace.readdir(dentry, dentry.select("parent")).select("parent", "name", "inode", "place")
 
 
 @query("ns_batch_stat", """+ d AS (SELECT inode, CAST(4096 AS BIGINT) AS size, 'dir' AS kind FROM dentry WHERE type = 1), f AS (SELECT inode, size, 'file' AS kind FROM file_attr WHERE inode NOT IN (SELECT inode FROM d)),
-asked AS (SELECT inode AS place, inode FROM dentry WHERE inode % 5 = 0 UNION ALL SELECT 0, 7)
-SELECT a.place, a.inode, k.size, k.kind FROM asked a LEFT JOIN (SELECT * FROM d UNION ALL SELECT * FROM f) k ON k.inode = a.inode""", ("dentry", "file_attr"))
-def ns_batch_stat(spark: SparkSession, folder: str) -> DataFrame:
-    dentry = view(spark, folder, "dentry")
-    dirs = dentry.where("type = 1").select("inode", F.lit(4096).cast("bigint").alias("size"))
-    asked = dentry.where("inode % 5 = 0").select(F.col("inode").alias("place"), "inode").unionByName(spark.sql("select cast(0 as bigint) as place, cast(7 as bigint) as inode"))
-    return namespace.batch_stat(dirs, view(spark, folder, "file_attr").select("inode", "size"), asked).select("place", "inode", "size", "kind")
-
-
-@query("ns_batch_stat_all", """+ d AS (SELECT inode, CAST(4096 AS BIGINT) AS size, 'dir' AS kind FROM dentry WHERE type = 1), f AS (SELECT inode, size, 'file' AS kind FROM file_attr WHERE inode NOT IN (SELECT inode FROM d)),
 asked AS (SELECT inode AS place, inode FROM dentry UNION ALL SELECT 0, 7)
 SELECT a.place, a.inode, k.size, k.kind FROM asked a LEFT JOIN (SELECT * FROM d UNION ALL SELECT * FROM f) k ON k.inode = a.inode""", ("dentry", "file_attr"))
-def ns_batch_stat_all(spark: SparkSession, folder: str) -> DataFrame:
+def ns_batch_stat(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
     dirs = dentry.where("type = 1").select("inode", F.lit(4096).cast("bigint").alias("size"))
     asked = dentry.select(F.col("inode").alias("place"), "inode").unionByName(spark.sql("select cast(0 as bigint) as place, cast(7 as bigint) as inode"))
@@ -229,15 +189,8 @@ def ns_paths_up(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.paths_up(dentry, dentry.select("inode"))
 
 
-@query("ns_lookup_path", "+ " + PATHS + " SELECT p.path, p.inode, d.type FROM paths p JOIN dentry d ON d.inode = p.inode WHERE p.inode % 7 = 0 UNION ALL SELECT '/no/where', NULL, NULL UNION ALL SELECT '/', 1, 1", ("dentry",))
+@query("ns_lookup_path", "+ " + PATHS + " SELECT p.path, p.inode, d.type FROM paths p JOIN dentry d ON d.inode = p.inode UNION ALL SELECT '/no/where', NULL, NULL UNION ALL SELECT '/', 1, 1", ("dentry",))
 def ns_lookup_path(spark: SparkSession, folder: str) -> DataFrame:
-    dentry = view(spark, folder, "dentry")
-    asked = namespace.paths_up(dentry, dentry.where("inode % 7 = 0")).select("path").unionByName(spark.sql("select '/no/where' as path union all select '/'"))
-    return namespace.walk(dentry, asked)
-
-
-@query("ns_lookup_path_all", "+ " + PATHS + " SELECT p.path, p.inode, d.type FROM paths p JOIN dentry d ON d.inode = p.inode UNION ALL SELECT '/no/where', NULL, NULL UNION ALL SELECT '/', 1, 1", ("dentry",))
-def ns_lookup_path_all(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
     asked = namespace.paths_up(dentry, dentry).select("path").unionByName(spark.sql("select '/no/where' as path union all select '/'"))
     return namespace.walk(dentry, asked)
@@ -249,9 +202,9 @@ def ns_prefix_match(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.paths_up(dentry, dentry.select("inode")).where(text.under(F.col("path"), F.lit("/ASIA")))
 
 
-@query("ns_path_normalise", "SELECT page_id, '/' || replace(stack, ';', '/') AS path FROM stacks WHERE NOT contains(stack, ';;') AND NOT ends_with(stack, ';')", ("stacks",))
+@query("ns_path_normalise", "SELECT page_id, '/' || array_to_string(list_filter(string_split(stack, ';'), lambda p: p <> ''), '/') AS path FROM stacks", ("stacks",))
 def ns_path_normalise(spark: SparkSession, folder: str) -> DataFrame:
-    stacks = view(spark, folder, "stacks").where(~F.col("stack").contains(";;") & ~F.col("stack").endswith(";"))
+    stacks = view(spark, folder, "stacks")
     crooked = F.concat(F.lit("/../x/./../"), F.replace("stack", F.lit(";"), F.lit("//")), F.lit("/./y/.."))
     return stacks.select("page_id", text.normal_path(crooked).alias("path"))
 
@@ -270,29 +223,23 @@ def ns_trash_listing(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.trash(view(spark, folder, "file_attr"), origins)
 
 
-@query("ns_rename_allowed", """+ m AS (SELECT a.inode AS src_inode, a.type AS src_type, b.inode AS dst_inode, b.type AS dst_type FROM dentry a LEFT JOIN dentry b ON b.inode = a.inode + 1 WHERE a.inode < 2000000)
+@query("ns_rename_allowed", """+ m AS (SELECT a.inode AS src_inode, a.type AS src_type, b.inode AS dst_inode, b.type AS dst_type FROM dentry a LEFT JOIN dentry b ON b.inode = a.inode + 1)
 SELECT src_inode, dst_inode, CASE WHEN dst_inode IS NULL THEN 'ok' WHEN src_inode = dst_inode THEN 'same' WHEN src_type = 1 AND dst_type <> 1 THEN 'not a directory' WHEN src_type <> 1 AND dst_type = 1 THEN 'is a directory'
 WHEN dst_type = 1 AND dst_inode IN (SELECT parent FROM dentry) THEN 'not empty' ELSE 'ok' END AS verdict FROM m""", ("dentry",))
 def ns_rename_allowed(spark: SparkSession, folder: str) -> DataFrame:
-    dentry = view(spark, folder, "dentry")
-    a = dentry.where("inode < 2000000").select(F.col("inode").alias("src_inode"), F.col("type").alias("src_type"))
-    b = dentry.select((F.col("inode") - 1).alias("src_inode"), F.col("inode").alias("dst_inode"), F.col("type").alias("dst_type"))
-    return namespace.rename_allowed(a.join(b, "src_inode", "left"), dentry).select("src_inode", "dst_inode", "verdict")
-
-
-@query("ns_rename_allowed_all", """+ m AS (SELECT a.inode AS src_inode, a.type AS src_type, b.inode AS dst_inode, b.type AS dst_type FROM dentry a LEFT JOIN dentry b ON b.inode = a.inode + 1)
-SELECT src_inode, dst_inode, CASE WHEN dst_inode IS NULL THEN 'ok' WHEN src_inode = dst_inode THEN 'same' WHEN src_type = 1 AND dst_type <> 1 THEN 'not a directory' WHEN src_type <> 1 AND dst_type = 1 THEN 'is a directory'
-WHEN dst_type = 1 AND dst_inode IN (SELECT parent FROM dentry) THEN 'not empty' ELSE 'ok' END AS verdict FROM m""", ("dentry",))
-def ns_rename_allowed_all(spark: SparkSession, folder: str) -> DataFrame:
     dentry = view(spark, folder, "dentry")
     a = dentry.select(F.col("inode").alias("src_inode"), F.col("type").alias("src_type"))
     b = dentry.select((F.col("inode") - 1).alias("src_inode"), F.col("inode").alias("dst_inode"), F.col("type").alias("dst_type"))
     return namespace.rename_allowed(a.join(b, "src_inode", "left"), dentry).select("src_inode", "dst_inode", "verdict")
 
 
-@query("ns_name_validity", "SELECT doc_id, length(text) BETWEEN 1 AND 255 AND octet_length(encode(substr(text, 1, 300))) BETWEEN 1 AND 255 AND NOT contains(text, '/') AND text NOT IN ('.', '..') AS valid FROM documents")
+@query("ns_name_validity", """WITH n AS (SELECT doc_id AS id, text AS name FROM documents UNION ALL SELECT -page_id, CASE page_id % 4 WHEN 0 THEN '.' WHEN 1 THEN '..' WHEN 2 THEN repeat('é', CAST(page_id % 300 AS INTEGER)) ELSE url END FROM pages)
+SELECT id, name, strlen(name) BETWEEN 1 AND 255 AND NOT contains(name, '/') AS valid FROM n""")
 def ns_name_validity(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", text.valid_name(F.col("text")).alias("valid"))
+    p = F.col("page_id") % 4
+    made = F.when(p == 0, ".").when(p == 1, "..").when(p == 2, F.expr("repeat('é', cast(page_id % 300 as int))")).otherwise(F.col("url"))
+    names = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name")).unionByName(table(spark, folder, "pages").select((-F.col("page_id")).alias("id"), made.alias("name")))
+    return names.select("id", "name", text.valid_name(F.col("name")).alias("valid"))
 
 
 # Usage
@@ -331,13 +278,8 @@ def usage_size_after_writes(spark: SparkSession, folder: str) -> DataFrame:
 # Lifecycle
 
 
-@query("gc_delayed_ready", "SELECT id, slice_id, size, 'meta_deleted' AS next_status FROM uncommitted WHERE status = 'pending' AND created_at <= 300000 ORDER BY id LIMIT 500", ("uncommitted",))
+@query("gc_delayed_ready", "SELECT id, slice_id, size, 'meta_deleted' AS next_status FROM uncommitted WHERE status IN ('pending', 'meta_deleted') AND created_at <= 300000", ("uncommitted",))
 def gc_delayed_ready(spark: SparkSession, folder: str) -> DataFrame:
-    return lifecycle.ready(view(spark, folder, "uncommitted"), 300000, 500).select("id", "slice_id", "size", "next_status")
-
-
-@query("gc_delayed_ready_all", "SELECT id, slice_id, size, 'meta_deleted' AS next_status FROM uncommitted WHERE status IN ('pending', 'meta_deleted') AND created_at <= 300000", ("uncommitted",))
-def gc_delayed_ready_all(spark: SparkSession, folder: str) -> DataFrame:
     return lifecycle.ready(view(spark, folder, "uncommitted"), 300000).select("id", "slice_id", "size", "next_status")
 
 
@@ -701,10 +643,13 @@ def ns_set_attrs(spark: SparkSession, folder: str) -> DataFrame:
     return namespace.set_attrs(attrs, changes, ["size", "mode"])
 
 
-@query("ns_fallocate", "SELECT a.inode, greatest(a.size, coalesce(max(r.off + r.len), a.size)) AS size, CAST(coalesce(sum(((r.off + r.len + 4095) // 4096 - r.off // 4096) * 8), 0) AS BIGINT) AS blocks FROM file_attr a LEFT JOIN reads r ON r.inode + 1000000000 = a.inode GROUP BY a.inode, a.size", ("file_attr", "reads"))
+@query("ns_fallocate", """+ had AS (SELECT inode, size, CASE WHEN inode % 3 > 0 THEN size // 512 + 7 ELSE (size + 511) // 512 END AS blocks FROM file_attr)
+SELECT a.inode, greatest(a.size, coalesce(max(r.off + r.len), a.size)) AS size, CAST(a.blocks + coalesce(sum(((r.off + r.len + 4095) // 4096 - r.off // 4096) * 8), 0) AS BIGINT) AS blocks
+FROM had a LEFT JOIN reads r ON r.inode + 1000000000 = a.inode GROUP BY a.inode, a.size, a.blocks""", ("file_attr", "reads"))
 def ns_fallocate(spark: SparkSession, folder: str) -> DataFrame:
     asked = view(spark, folder, "reads").withColumn("inode", F.col("inode") + 1000000000)
-    return namespace.fallocate(asked, view(spark, folder, "file_attr").select("inode", "size"))
+    attrs = view(spark, folder, "file_attr").select("inode", "size", F.when(F.col("inode") % 3 > 0, layout.div(F.col("size"), 512) + 7).alias("blocks"))
+    return namespace.fallocate(asked, attrs)
 
 
 @query("acl_upsert", """WITH r AS (SELECT n_nationkey AS inode, 0 AS acl_type, n_regionkey AS qualifier, 4 AS permissions, -1 AS seq FROM nation UNION ALL SELECT event_id % 40, 0, event_id % 5, CAST(event_id % 8 AS INTEGER), event_id FROM events)
@@ -723,3 +668,12 @@ def tele_runtimes(spark: SparkSession, folder: str) -> DataFrame:
     wall = F.col("metric") == "price"
     named = rows.select(F.when(wall, "summary").otherwise("fio").alias("kind"), "item", F.when(wall, "tool_wall_s").otherwise("active_io_runtime_s").alias("metric"), "num")
     return _rounded(telemetry.runtimes(named), "num")
+
+
+#: Names that these queries had while the plain ones asked for a part of the entries.
+for _name in ("ns_lookup", "ns_batch_stat", "ns_lookup_path", "ns_rename_allowed", "ns_readdir", "gc_delayed_ready"):
+    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
+
+from tidemark.plans import metadata, reporting  # noqa: E402  they register into the same tables
+
+__all__ = ["QUERIES", "SQL", "metadata", "reporting"]

@@ -38,6 +38,14 @@ def fio_jobs(files: DataFrame) -> DataFrame:
     )
 
 
+def fio_latencies(files: DataFrame) -> DataFrame:
+    """``item``, ``op`` and ``percentile`` (a map in ns) of the first job of each JSON result."""
+    body = F.from_json(F.expr("substring(value, greatest(instr(value, '{'), 1))"), JOBS)
+    first = files.select(item_of(F.col("file")).alias("item"), F.get(body["jobs"], F.lit(0)).alias("j"))
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("op"), F.col(f"j.{d}.clat_ns.percentile").alias("percentile")) for d in ("read", "write")]))
+    return first.select("item", each.alias("o")).select("item", "o.*").where("percentile is not null")
+
+
 def seconds(text: Column) -> tuple[Column, Column]:
     """Seconds and whether they are a timeout, of ``12.5`` or ``timeout:30``; null for anything else and below 0."""
     value = F.regexp_replace(text, "^timeout:", "").try_cast("double")
@@ -68,11 +76,16 @@ def drain_metrics(rows: DataFrame) -> DataFrame:
     return rows.where("tool <> ''").select(F.lit("drain").alias("kind"), F.col("tool").alias("item"), made.alias("m")).select("kind", "item", "m.*").where("num is not null")
 
 
-def counters(files: DataFrame, prefix: str = "") -> DataFrame:
+def live_counters(files: DataFrame, prefix: str = "") -> DataFrame:
+    """The same as ``counters`` for unsigned whole numbers, of which none loses digits; lines with other values are skipped."""
+    return counters(files, prefix, "decimal(20,0)")
+
+
+def counters(files: DataFrame, prefix: str = "", kind: str = "double") -> DataFrame:
     """``item``, ``name`` and ``value`` of counter lines ``name value``; the last line of a name wins, others are skipped."""
     lines = files.select(item_of(F.col("file")).alias("item"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
     parts = F.split(F.trim("raw"), r"\s+")
-    rows = lines.select("item", "line", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).try_cast("double").alias("value"))
+    rows = lines.select("item", "line", F.get(parts, F.lit(0)).alias("name"), F.get(parts, F.lit(1)).try_cast(kind).alias("value"))
     return rows.where(F.startswith("name", F.lit(prefix)) & ~F.startswith("name", F.lit("#")) & F.col("value").isNotNull()).groupBy("item", "name").agg(F.max_by("value", "line").alias("value"))
 
 
