@@ -1,14 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. A letter trigram is the product of its three letter vectors, the first shifted
+Each letter, by its lower-case code point, has a random vector of +1 and -1. A letter trigram is the product of its three letter vectors, the first shifted
 twice and the second once, so that order counts. A text is the sum of its trigram vectors, a language the sum of its
 training texts; a text gets the language whose prototype has the largest cosine with it.
 
 Bundling is a sum, so a prototype is the product of the language's trigram counts and the trigram vectors: training ships
 one count per language and trigram and task, and prototypes are as many vectors as there are languages.
 
-Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned. Ties go to the
-first language in order. Rows are judged one by one, so repeated rows agree; other columns are ignored.
+Null texts and texts without a letter are ``und`` with score 0, as is every text if nothing was learned, say from an empty
+table. Ties go to the first language in order. A text of any length is one row's work, at about 60 bytes of memory a letter.
+Rows are judged one by one, so repeated rows agree; other columns are ignored. Null ids teach and are not held out.
 """
 
 from __future__ import annotations
@@ -22,35 +23,38 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textvec import chunks, mix
 
-#: Codes of letters; a letter's code is its lower-case code point, folded into this many values (0: word edge).
-LETTERS = 512
-DIM = 512
+#: Bits of a code point in a trigram's code; 0 stands for the edge of a word.
+POINT = 21
+DIM = 1024
 #: Rows summed at once, which bounds the dense counts of a batch.
 ROWS = 64
+#: Trigrams whose vectors are held at once.
+KINDS = 4096
 #: Most languages that prototypes are sent to the workers for: 2 kB each.
 MAX_LANGUAGES = 20_000
 
 
-def letter_vectors(dim: int = DIM) -> np.ndarray:
-    """The random letter vectors; a rule makes them, so every worker has the same ones."""
-    bits = mix(np.arange(LETTERS * dim, dtype=np.uint64) + np.uint64(0x5851F42D4C957F2D))
-    return ((bits >> np.uint64(63)).astype(np.float32) * 2 - 1).reshape(LETTERS, dim)
+def letter_vectors(points: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The random vectors of letters; a rule makes them from code points, so every worker has the same ones."""
+    seeds = points.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(dim // 64, dtype=np.uint64)[None, :] * np.uint64(0xD1342543DE82EF95)
+    return np.unpackbits(mix(seeds + np.uint64(0x5851F42D4C957F2D)).view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-def trigram_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+def trigram_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     """Bound vectors of trigram codes."""
-    a, b, c = codes // (LETTERS * LETTERS), codes // LETTERS % LETTERS, codes % LETTERS
-    return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+    last = (1 << POINT) - 1
+    points, at = np.unique(np.stack([codes >> (2 * POINT), (codes >> POINT) & last, codes & last]), return_inverse=True)
+    letters, (a, b, c) = letter_vectors(points, dim), at.reshape(3, -1)
+    return (np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]).astype(np.float32)
 
 
 def _fold_table() -> np.ndarray:
-    """Letter code of every code point of the basic plane; 0 for what is no letter."""
-    table = np.zeros(0x10000, np.int32)
+    """Lower-case code point of every letter of the basic plane; 0 for what is no letter."""
+    table = np.zeros(0x10000, np.int64)
     for point in range(0x10000):
         char = chr(point)
         if char.isalpha():
-            low = ord(char.lower()[0])
-            table[point] = low % (LETTERS - 1) + 1
+            table[point] = ord(char.lower()[0])
     return table
 
 
@@ -67,7 +71,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
     code = _fold[np.minimum(points, 0xFFFF)].copy()
     for i in np.flatnonzero(points > 0xFFFF):  # letters beyond the basic plane are rare
-        code[i] = points[i] % (LETTERS - 1) + 1 if chr(points[i]).isalpha() else 0
+        code[i] = ord(chr(points[i]).lower()[0]) if chr(points[i]).isalpha() else 0
     row = np.repeat(np.arange(len(rows)), sizes)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0)  # one edge between words
@@ -75,7 +79,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     before, after = np.zeros_like(code), np.zeros_like(code)
     before[1:], after[:-1] = code[:-1], code[1:]
     letter = code != 0
-    return row[letter], ((before * LETTERS + code) * LETTERS + after)[letter].astype(np.int64)
+    return row[letter], ((before << (2 * POINT)) | (code << POINT) | after)[letter]
 
 
 def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -115,14 +119,14 @@ def prototypes(counts: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray
     """Languages in order and their unit prototypes. Each task sums what it holds; a language gets one vector a task."""
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, sums = letter_vectors(dim), {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, codes, n = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for lang in set(langs):
                 mine = langs == lang
-                for at in range(0, int(mine.sum()), 8192):
-                    part = np.flatnonzero(mine)[at : at + 8192]
-                    sums[lang] = sums.get(lang, 0) + n[part].astype(np.float64) @ trigram_vectors(codes[part], letters)
+                for at in range(0, int(mine.sum()), KINDS):
+                    part = np.flatnonzero(mine)[at : at + KINDS]
+                    sums[lang] = sums.get(lang, 0) + n[part].astype(np.float64) @ trigram_vectors(codes[part], dim)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v.tolist()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -142,11 +146,10 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, keep: list[Co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, protos = sent.value
-        letters = letter_vectors(protos.shape[1] if len(langs) else DIM)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                best, score = judge(part.column(1), langs, protos, letters)
+                best, score = judge(part.column(1), langs, protos)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["keep", "lang_pred", "score"])
 
     rows = docs.select(F.struct(*keep).alias("keep"), F.col(text_col).alias("text"))
@@ -154,19 +157,19 @@ def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, keep: list[Co
     return out.select("keep.*", "lang_pred", "score")
 
 
-def judge(texts: pa.Array, langs: list[str], protos: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
+def judge(texts: pa.Array, langs: list[str], protos: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
     n = len(texts)
     row, code = trigrams(texts)
     if not len(code) or not langs:
         return ["und"] * n, np.zeros(n)
     kinds, at = np.unique(code, return_inverse=True)
-    vectors = np.zeros((n, letters.shape[1]), np.float32)
-    for lo in range(0, len(kinds), 16384):  # bounds the table of trigram vectors
-        mine = (at >= lo) & (at < lo + 16384)
-        size = min(16384, len(kinds) - lo)
+    vectors = np.zeros((n, protos.shape[1]), np.float32)
+    for lo in range(0, len(kinds), KINDS):  # bounds the table of trigram vectors
+        mine = (at >= lo) & (at < lo + KINDS)
+        size = min(KINDS, len(kinds) - lo)
         dense = np.bincount(row[mine] * size + at[mine] - lo, minlength=n * size).astype(np.float32).reshape(n, size)
-        vectors += dense @ trigram_vectors(kinds[lo : lo + 16384], letters)
+        vectors += dense @ trigram_vectors(kinds[lo : lo + KINDS], protos.shape[1])
     norm = np.linalg.norm(vectors, axis=1)
     cosine = (vectors @ protos.T) / np.maximum(norm, 1e-12)[:, None]
     best = cosine.argmax(axis=1)
@@ -177,5 +180,5 @@ def judge(texts: pa.Array, langs: list[str], protos: np.ndarray, letters: np.nda
 
 def identify(docs: DataFrame, train: Column, keep: list[Column], *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn from the rows where ``train`` holds, then judge every row."""
-    langs, protos = prototypes(learn(docs.where(train), text_col=text_col, lang_col=lang_col))
+    langs, protos = prototypes(learn(docs.where(F.coalesce(train, F.lit(True))), text_col=text_col, lang_col=lang_col))
     return predict(docs, langs, protos, keep, text_col=text_col)

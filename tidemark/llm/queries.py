@@ -23,6 +23,11 @@ def _fold(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def _held_out(n: int, fold: int) -> Column:
+    """Whether a document is in the fold; one without an id is not."""
+    return F.coalesce(_fold(n) == fold, F.lit(False)).alias("held_out")
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its text edited with the next document's."""
     return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
@@ -111,14 +116,14 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base score and model score of every document, learned from those whose fold is not 1."""
     docs = _table(spark, sf_dir, "documents")
     model, counts = lm_score.train(docs, _fold(5) != 1)
-    return lm_score.score(docs, model, counts, [F.col("doc_id"), (_fold(5) == 1).alias("held_out")])
+    return lm_score.score(docs, model, counts, [F.col("doc_id"), _held_out(5, 1)])
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels whose fold is not 1."""
     docs = _table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, _table(spark, sf_dir, "labels"), _fold(3) != 1)
-    return quality_model.score(docs, model, [F.col("doc_id"), (_fold(3) == 1).alias("held_out")])
+    return quality_model.score(docs, model, [F.col("doc_id"), _held_out(3, 1)])
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +168,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those whose fold is not 0."""
     docs = _table(spark, sf_dir, "documents")
-    return language_id.identify(docs, _fold(5) != 0, [F.col("doc_id"), (_fold(5) == 0).alias("held_out")])
+    return language_id.identify(docs, _fold(5) != 0, [F.col("doc_id"), _held_out(5, 0)])
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
