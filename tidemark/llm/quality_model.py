@@ -1,16 +1,20 @@
 """A quality classifier on random-indexing word vectors.
 
-Every word has a fixed sparse index vector of +1 and -1. The word vector of a bucket of words is the sum of the index vectors
-of their neighbours over the whole corpus, a table of fixed size (``BUCKETS`` x ``CONTEXT``). A document is the mean of its
-words' vectors, beside the means of their index vectors by spelling and by shape (letters, digits and signs, runs folded). A
+Every word has a fixed sparse index vector of +1 and -1. A word's vector is the sum of the index vectors of its neighbours over
+the whole corpus. Vectors of all words are held in a count sketch of fixed size (``TABLES`` x ``BUCKETS`` x ``CONTEXT``): each
+table adds a word's vector to a bucket with a random sign, and the mean over the tables of what its buckets hold, with its signs,
+estimates it. Other words of a bucket come with random signs, so they blur a rare word's vector but do not shift it. A
+document is the mean of its words' unit vectors, beside the means of their index vectors by spelling and by shape (letters, digits and signs, runs folded). A
 network with one hidden layer, in numpy, turns that into a score, and a temperature fitted on rows that it was not trained
 on calibrates it.
 
 The table is summed in every task and then by block of buckets, streaming, so memory does not grow with the input. The
 network alone is fitted on the driver, on at most ``max_train`` labelled rows, those with the smallest hash of their id.
 
-Null and empty texts are zero vectors and are scored like any other. A document with several labels has the largest; null
-labels are none. Without labels of both kinds the score is the share of label 1, or 0.5. Repeated rows get equal scores.
+Null and empty texts are zero vectors and are scored like any other; a text of any length is one row's work, at about 60 bytes
+of memory a byte. A document with several labels has the largest; null labels are none. Rows that repeat an id with a label
+all teach, the first ``max_train`` by hash and text. Without labels of both kinds, as in an empty table, the score is the share
+of label 1, or 0.5. Equal texts get equal scores; null ids have no label; other columns are ignored, and kept by ``passing``.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textvec import U64, Words, chunks, hashes, mix, words
 
-BUCKETS, CONTEXT, OWN = 8192, 64, 96
+TABLES, BUCKETS, CONTEXT, OWN = 2, 16384, 64, 96
 BLOCK = 256
 SPARSE = 4
 SIZE = CONTEXT + 2 * OWN
@@ -55,27 +59,44 @@ def _shapes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return hashes(Words(flat, at, np.diff(np.append(at, len(flat))), w.row, w.count))
 
 
-def neighbours(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> None:
-    """Add the index vectors of each word's neighbours to its bucket's row of ``table``."""
+def slots(h: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each word hash in a table, buckets of all tables numbered through."""
+    x = mix(h ^ U64(0xC2B2AE3D27D4EB4F * (table + 1) % (1 << 64)))
+    return (x % U64(BUCKETS)).astype(np.int64) + table * BUCKETS, ((x >> U64(63)).astype(np.int8) * 2 - 1)
+
+
+def neighbours(data: np.ndarray, off: np.ndarray, sketch: np.ndarray) -> None:
+    """Add the index vectors of each word's neighbours to its buckets."""
     w = words(data, off)
     if len(w.at) < 2:
         return
     h = hashes(w)
-    bucket = (h % U64(BUCKETS)).astype(np.int64)
     same = w.row[1:] == w.row[:-1]
     place, sign = index(h, CONTEXT)
-    for here, there in ((slice(None, -1), slice(1, None)), (slice(1, None), slice(None, -1))):
-        at = bucket[here][same][:, None] * CONTEXT + place[there][same]
-        table += np.bincount(at.ravel(), sign[there][same].ravel(), minlength=BUCKETS * CONTEXT)
+    for table in range(TABLES):
+        bucket, own = slots(h, table)
+        for here, there in ((slice(None, -1), slice(1, None)), (slice(1, None), slice(None, -1))):
+            at = (bucket[here][same] - table * BUCKETS)[:, None] * CONTEXT + place[there][same]
+            part = sketch[table * BUCKETS * CONTEXT : (table + 1) * BUCKETS * CONTEXT]
+            part += np.bincount(at.ravel(), (sign[there][same] * own[here][same][:, None]).ravel(), minlength=BUCKETS * CONTEXT)
+
+
+def vectors_of(h: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Unit vectors of word hashes, as the sketch estimates them."""
+    total = np.zeros((len(h), CONTEXT), np.float32)
+    for table in range(TABLES):
+        bucket, own = slots(h, table)
+        total += sketch[bucket] * own[:, None]
+    return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)
 
 
 def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """Unit word vectors by bucket, from all rows."""
+    """The sketch of all words' vectors, from all rows."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS * CONTEXT)
+        table = np.zeros(TABLES * BUCKETS * CONTEXT)
         for batch in batches:
-            for _, _, data, off in chunks(batch.column(0)):
+            for _, _, data, off in chunks(batch.column(0), 1 << 22):
                 neighbours(data, off, table)
         blocks = table.astype(np.int64).reshape(-1, BLOCK * CONTEXT)
         some = np.flatnonzero(blocks.any(axis=1))
@@ -91,11 +112,10 @@ def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], names=["block", "v"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, "block int, v binary")
-    table = np.zeros((BUCKETS // BLOCK, BLOCK * CONTEXT))
-    for r in parts.repartition("block").mapInArrow(add, "block int, v binary").collect():  # BUCKETS x CONTEXT numbers in all
+    table = np.zeros((TABLES * BUCKETS // BLOCK, BLOCK * CONTEXT))
+    for r in parts.repartition("block").mapInArrow(add, "block int, v binary").collect():  # TABLES x BUCKETS x CONTEXT numbers in all
         table[r.block] += np.frombuffer(r.v, np.int64)
-    table = table.reshape(BUCKETS, CONTEXT)
-    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1)).astype(np.float32)
+    return table.reshape(TABLES * BUCKETS, CONTEXT).astype(np.float32)
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -113,7 +133,8 @@ def pool(data: np.ndarray, off: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     for a in range(0, len(h), 1 << 17):  # bounds the words' vectors in memory
         part = slice(a, a + (1 << 17))
         rows, at = np.unique(w.row[part], return_index=True)
-        out[rows, :CONTEXT] += np.add.reduceat(vectors[(h[part] % U64(BUCKETS)).astype(np.int64)], at, axis=0)
+        kinds, of = np.unique(h[part], return_inverse=True)
+        out[rows, :CONTEXT] += np.add.reduceat(vectors_of(kinds, vectors)[of], at, axis=0)
     for lo, keys in ((CONTEXT, h), (CONTEXT + OWN, _shapes(data, off))):
         place, sign = index(keys, OWN)
         flat = np.bincount((w.row[:, None] * OWN + place).ravel(), sign.ravel(), minlength=n * OWN)
@@ -182,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc
 
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = rows.join(F.broadcast(sample), "__id").select("__id", "__y", "__text").mapInArrow(features, f"id {kind}, y double, x binary")  # max_train rows at most
-    got = sorted(((r.id, r.x, r.y) for r in chosen.limit(2 * max_train).collect()), key=lambda r: (r[0], r[1]))
+    first = chosen.orderBy(F.xxhash64("id"), "id", "x").limit(max_train)  # repeated ids may bring more rows than labels
+    got = sorted(((r.id, r.x, r.y) for r in first.collect()), key=lambda r: (r[0], r[1]))
     x = np.frombuffer(b"".join(r[1] for r in got), np.float32).reshape(len(got), SIZE)
     return vectors, Network(x, np.array([float(r[2] > 0) for r in got]))
 
