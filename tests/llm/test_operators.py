@@ -326,7 +326,19 @@ def test_counts_equal_the_library(texts):
     from tokenizers import Tokenizer
 
     texts = [*texts, "a<|endoftext|>b <|endoftext|>", "\x1c \x85　x"]
-    assert token_count.Counter50k(VOCAB).count(texts) == [len(e) for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
+    special, places, counts, asked = token_count.frequencies(token_count.pre_tokens(VOCAB), texts, 4)
+    pieces = token_count.pre_tokens(VOCAB).pieces([p for _, part in asked for p in part])
+    got = [n + int((pieces[k] * c).sum()) for n, k, c in zip(special, places, counts)]
+    assert got == [len(e) for e in Tokenizer.from_file(VOCAB).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_counts_of_the_query_equal_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    want = [len(e) for e in Tokenizer.from_file(VOCAB).encode_batch(docs.text.fillna("").tolist(), add_special_tokens=False)]
+    got = keyed(queries.op10_token_counts(spark, sf))
+    assert [(got[i].n_bytes, got[i].n_tokens, got[i].over_limit) for i in docs.doc_id] == [(len((t or "").encode()), n, n > 1024) for t, n in zip(docs.text, want)]
 
 
 # Pipeline
