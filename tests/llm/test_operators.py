@@ -121,6 +121,16 @@ def test_margins_are_met_and_draws_follow_probabilities(spark):
     assert out.probability.max() == pytest.approx(1.0) and 0.9 < out.selected.sum() / out.probability.sum() < 1.1
 
 
+def test_topics_are_common_words_of_few_documents(spark):
+    texts = ["all red red blue"] * 2 + ["all blue"] * 2 + ["all"] * 36 + [None]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert mixing.topic_words(docs) == ["blue", "red"]
+    got = {r.doc_id: (r.topic, r.n_tokens) for r in mixing.with_topics(docs, [F.col("doc_id")]).collect()}
+    assert (got[0], got[2], got[39], got[40]) == (("red", 4), ("blue", 2), ("other", 1), ("other", 0))
+    drawn = mixing.drawn(with_clashes(documents(spark)))
+    assert drawn.columns == with_clashes(documents(spark)).columns and mixing.drawn(documents(spark, [])).count() == 0
+
+
 # 3
 
 
@@ -136,6 +146,45 @@ def repeats(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(spots)
 
 
+def swapped(n, other=False):
+    """The n-th word of a sequence whose words a polynomial modulo 2**64 does not tell from their mirror images."""
+    return "".join("ab"[(bin(i).count("1") + other) % 2] for i in range(n))
+
+
+def test_words_with_one_polynomial_are_told_apart(spark):
+    import numpy as np
+    import sentencepiece
+
+    from tidemark.llm.textvec import hashes
+    from tidemark.llm.textvec import words as cut
+
+    texts = [f"{swapped(n, other)} one two three" for n in (64, 1024, 2048) for other in (False, True)]
+    raw = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    assert len(set(hashes(cut(raw, np.array([0, len(raw)]))).tolist())) == 9
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ids, counts = sentencepiece_bpe.Pieces(MODEL).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    assert all(r.component_id == r.doc_id for r in jaccard_join.join(docs, k=4, percent=85).collect())
+
+
+def test_encoding_looks_behind_an_equal_hash(monkeypatch):
+    import numpy as np
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_bpe, "hashes", lambda w: np.zeros(len(w.at), np.uint64))
+    texts = ["the cat and the dog", "a cat", "", "the end"]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    ids, counts = sentencepiece_bpe.Pieces(MODEL).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t) for t in texts]
+
+
+def test_repeats_are_exact_behind_an_equal_hash(spark, odd, monkeypatch):
+    monkeypatch.setattr(quality_rules, "WINDOW_HASH", lambda *h: F.pmod(h[0], F.lit(3)))
+    for r in quality_rules.judge(odd.where("octet_length(text) < 5000").dropDuplicates(["doc_id"]), [F.col("doc_id"), F.col("text")]).collect():
+        assert r.n_repeat_words == repeats(r.text)[4]
+
+
 def test_counts_of_rules(spark, odd):
     for r in quality_rules.judge(odd.dropDuplicates(["doc_id"]), [F.col("doc_id"), F.col("text")]).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == repeats(r.text)
@@ -166,6 +215,27 @@ def test_base_score_counts_and_gain(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_score_is_that_of_plain_probabilities(spark, sf):
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    tokens = {i: [*words(x), None] for i, x in zip(docs.doc_id, docs.text)}
+    train = [t for i, t in tokens.items() if fold(i, 5) != 1]
+    single, pair = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([0, *t], t))
+    n, v = sum(single.values()), len(single)
+    of = lambda c: lm_score.COUNT_OF[int(lm_score.level(c))]
+    got = keyed(queries.op4_lm_score(spark, sf))
+    wrong = 0
+    for i, t in tokens.items():
+        total = 0.0
+        for a, b in zip([0, *t], t):
+            c, before = of(single[b]), of(single[None]) if a == 0 else of(single[a])
+            p = (c + 0.5) / (n + 0.5 * (v + 1))
+            seen = min(of(pair[a, b]), c, before)
+            total += math.log10(min((seen + lm_score.PRIOR * p) / (before + lm_score.PRIOR), 1.0))
+        assert got[i].score == pytest.approx(total, rel=0.02)
+        wrong += abs(got[i].score - total) > 1e-6 * abs(total)
+    assert wrong <= 0.5 * len(tokens)  # the filter takes some n-grams that it does not hold for rare ones
+
+
 def test_filter_reads_counts_back(spark):
     import numpy as np
 
@@ -207,6 +277,23 @@ def test_held_out_quality(spark, sf):
     assert (held.predicted == held.quality).mean() >= 0.9 and got.score.between(0, 1).all()
 
 
+def test_word_vectors_are_sums_of_neighbours(spark):
+    import numpy as np
+
+    texts = ["red fox runs far", "red fox sleeps", "blue whale", "one"]
+    sketch = quality_model.word_vectors(documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    of = lambda t: quality_model.hashes(quality_model.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))
+
+    def dense(word):
+        place, sign = quality_model.index(of(word), quality_model.CONTEXT)
+        return np.bincount(place[0], sign[0], minlength=quality_model.CONTEXT)
+
+    want = {"fox": [dense("red"), dense("runs"), dense("red"), dense("sleeps")], "whale": [dense("blue")], "one": []}
+    for word, parts in want.items():
+        total = 2 * sum(parts, np.zeros(quality_model.CONTEXT))  # both tables hold it
+        assert np.allclose(quality_model.vectors_of(of(word), sketch)[0], total / max(np.linalg.norm(total), 1), atol=1e-5)
+
+
 # 6
 
 
@@ -258,6 +345,15 @@ def test_urls(spark):
     assert {r.verdict for r in url_filter.judge(with_clashes(pages), none).collect()} == {"allow"}
 
 
+def test_listed_urls_are_canonical(spark):
+    urls = ["http://A.test:80/x%7Ey//z", "https://a.test./x~y/z/more", "http://b.a.test/x~y/zz", "http://a.test/%zz", "http://a.test/" + "d/" * 3000, None]
+    pages = spark.createDataFrame([(i % 5, u, "") for i, u in enumerate([*urls, urls[0], urls[0]])], "page_id bigint, url string, html string")
+    listed = url_filter.listing(spark, [], [("block", "a.test:443/x~y/z")])
+    got = [(r.host, r.verdict) for r in url_filter.judge(with_clashes(pages), listed).collect()]
+    assert sorted(got) == sorted([("a.test:80", "block")] * 3 + [("a.test.", "block"), ("b.a.test", "allow"), ("a.test", "allow"), ("a.test", "allow"), ("", "allow")])
+    assert url_filter.judge(pages.limit(0), listed).count() == 0
+
+
 # 8
 
 
@@ -312,6 +408,31 @@ def test_held_out_languages(spark, sf):
     assert (held.lang_pred == held.lang).mean() >= 0.95 and got.score.between(0, 1).all()
 
 
+def test_languages_by_plain_products(spark):
+    import numpy as np
+
+    texts = [(0, "The cat, the hat", "en"), (1, "der Hut und die Katze", "de"), (2, "Ünder das hat", "de"), (3, "日本 𝔘", "xx")]
+    docs = documents(spark, [(i, t, lang, "s", 0) for i, t, lang in texts])
+    letters = lambda c: language_id.letter_vectors(np.array([ord(c) if c else 0]))[0].astype(float)
+
+    def vector(text):
+        total = np.zeros(language_id.DIM)
+        for word in "".join(c.lower()[0] if c.isalpha() else " " for c in text).split():
+            padded = ["", *word, ""]
+            for a, b, c in zip(padded, padded[1:], padded[2:]):
+                total += np.roll(letters(a), 2) * np.roll(letters(b), 1) * letters(c)
+        return total
+
+    langs, protos = language_id.prototypes(language_id.learn(docs))
+    for lang, got in zip(langs, protos):
+        want = sum(vector(t) for _, t, other in texts if other == lang)
+        assert np.allclose(got, want / np.linalg.norm(want), atol=1e-5)
+    for r in language_id.identify(docs, F.lit(True), [F.col("doc_id"), F.col("text")]).collect():
+        v = vector(r.text)
+        cosines = protos @ v / np.linalg.norm(v)
+        assert r.lang_pred == langs[int(cosines.argmax())] and r.score == pytest.approx(cosines.max(), abs=1e-5)
+
+
 def test_texts_without_letters_are_undetermined(spark, odd):
     got = keyed(language_id.identify(odd, F.lit(True), [F.col("doc_id")]))
     assert {got[i].lang_pred for i in (0, 1, 2, 12)} == {"und"} and got[3].lang_pred in ("en", "fr")

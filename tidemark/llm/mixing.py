@@ -1,17 +1,22 @@
 """Mixing a corpus to target weights by iterative proportional fitting.
 
 Token weights are summed by cell, one cell for each combination of the margin columns that occurs. A round scales the cells
-once for each margin, so that the margin's sums meet its targets; the rounds repeat until all margins agree. A cell's
+once for each margin, so that the margin's sums meet its targets; ``rounds`` rounds bring the margins as close as they get in
+so many (eight leave 1e-9 of a share where margins are as mild as the queries'). A cell's
 sampling probability is its fitted weight over its tokens, times the largest factor that keeps every probability at most 1,
 times ``rate``. A document is drawn if a hash of its id, uniform in 0..1, lies below its cell's probability, so draws repeat
 exactly and do not depend on partitions.
 
-Only cells are fitted: windows over the (small) table of cells scale each margin in place, and the documents are read twice,
-once to be summed with partial sums before the shuffle and once to be joined with their cell.
+Only cells are fitted: a step sums the weights of a margin's values, in part before the shuffle, and keeps one factor a value;
+a cell's weight is its tokens times the factors of its values. The documents are read twice, once to be summed likewise and
+once to be joined with their cell. A topic is learned where a corpus has none: of the words that at most a tenth of the documents
+have, the commonest ones stand for topics, and a document has the topic whose word it has most often.
 
 Null margin values form a category ``''`` of their own and null texts weigh 0 tokens. Cells without tokens get probability 1.
 Targets for values that do not occur are ignored, values without a target share what the others leave by their tokens.
-Repeated rows are drawn together; an empty table gives an empty result; other columns are kept or ignored as asked.
+Repeated rows are drawn together, as are all rows with a null id, whose hash counts as 0, so they are always drawn. Of topics
+that tie, the commoner word's counts; documents without any have the topic ``other``. A text of any length is one row's work. An
+empty table gives an empty result; other columns are kept or ignored as asked.
 """
 
 from __future__ import annotations
@@ -31,9 +36,35 @@ def token_weight(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, GAPS), "")), F.lit(0)).cast("bigint")
 
 
-def topic_of(text: Column, n_tokens: Column) -> Column:
-    """A stand-in for a topic where a corpus has none: the form of the text."""
-    return F.when(text.contains(" | "), "table").when(n_tokens < 100, "note").when(n_tokens < 600, "article").otherwise("book")
+TOPICS = 16
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text; none if it is null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAPS), "")
+
+
+def topic_words(texts: DataFrame, *, text_col: str = "text", topics: int = TOPICS) -> list[str]:
+    """The ``topics`` words that most documents have, of those that at most a tenth have; of equals the first in order."""
+    each = texts.select(F.explode(F.array_distinct(words_of(F.col(text_col)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    most = texts.count() / 10
+    return [r.w for r in each.where(F.col("n") <= most).orderBy(F.desc("n"), "w").limit(topics).collect()]
+
+
+def topic_of(words: Column, topics: list[str]) -> Column:
+    """The topic word that is most often among ``words``, the first of equals, or ``other``."""
+    known = F.lit(topics) if topics else F.array().cast("array<string>")
+    held = F.filter(words, lambda w: F.array_contains(known, w))
+    of = lambda hits: F.array_max(F.transform(known, lambda t, i: F.struct(F.size(F.filter(hits, lambda h: h == t)).alias("n"), (-i).alias("first"), t.alias("t"))))
+    best = F.get(F.transform(F.array(held), of), F.lit(0))
+    return F.when(best["n"] > 0, best["t"]).otherwise("other")
+
+
+def with_topics(docs: DataFrame, keep: list[Column], *, text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, ``topic`` and ``n_tokens`` of every row."""
+    topics = topic_words(docs, text_col=text_col)
+    cut = docs.select(F.struct(*keep).alias("__keep"), words_of(F.col(text_col)).alias("__words"))
+    return cut.select("__keep.*", topic_of(F.col("__words"), topics).alias("topic"), F.size("__words").cast("bigint").alias("n_tokens"))
 
 
 def tempered_targets(cells: DataFrame, dims: list[str], power: float) -> DataFrame:
@@ -62,15 +93,26 @@ def fixed_targets(cells: DataFrame, dims: list[str], shares: Mapping[str, Mappin
 
 
 def rake(cells: DataFrame, dims: list[str], targets: DataFrame, rounds: int) -> DataFrame:
-    """The cells with ``weight``, fitted in ``rounds`` rounds; weights sum to 1 once the margins agree."""
-    fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for d in dims:
-        mine = targets.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("share").alias(f"__{d}"))
-        fitted = fitted.join(mine, d)
+    """The cells with ``weight``, fitted in ``rounds`` rounds; weights sum to 1 once the margins agree.
+
+    A step multiplies the factors of the other margins into the cells' tokens, sums them by value and sets each value's factor
+    to what meets its share.
+    """
+    factors: dict[str, DataFrame] = {}
+
+    def weighed(but: str | None = None) -> DataFrame:
+        rows, weight = cells, F.col("tokens").cast("double")
+        for d in dims:
+            if d != but and d in factors:
+                rows, weight = rows.join(factors[d].withColumnRenamed("factor", f"__{d}"), d), weight * F.col(f"__{d}")
+        return rows.select(*cells.columns, weight.alias("weight"))
+
     for _ in range(rounds):
         for d in dims:
-            fitted = fitted.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"__{d}"), F.sum("weight").over(Window.partitionBy(d))), F.lit(0.0)))
-    return fitted.drop(*[f"__{d}" for d in dims])
+            share = targets.where(F.col("dim") == d).select(F.col("value").alias(d), "share")
+            sums = weighed(d).groupBy(d).agg(F.sum("weight").alias("sum")).join(share, d)
+            factors[d] = save(sums.select(d, F.coalesce(F.try_divide("share", "sum"), F.lit(0.0)).alias("factor")), f"mix-{d}")
+    return weighed()
 
 
 def probabilities(fitted: DataFrame, rate: float) -> DataFrame:
@@ -118,13 +160,5 @@ def mix(
 
 def drawn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **how) -> DataFrame:
     """The rows of ``docs`` that are drawn for tempered source, language and topic margins, with their columns."""
-    tokens = token_weight(F.col(text_col))
-    rows = docs.select(
-        F.struct("*").alias("__doc"),
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.col(lang_col).cast("string").alias("lang"),
-        topic_of(F.coalesce(F.col(text_col), F.lit("")), tokens).alias("topic"),
-        tokens.alias("n_tokens"),
-    )
-    return mix(rows, ["source", "lang", "topic"], **how).where("selected").select("__doc.*")
+    margins = [F.struct("*").alias("__doc"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang")]
+    return mix(with_topics(docs, margins, text_col=text_col), ["source", "lang", "topic"], **how).where("selected").select("__doc.*")

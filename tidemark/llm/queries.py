@@ -35,8 +35,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, probability and draw of every document, for tempered source, language and topic margins."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", mixing.token_weight(F.col("text")).alias("n_tokens"))
-    rows = docs.select("doc_id", "lang", "source", mixing.topic_of(F.coalesce("text", F.lit("")), F.col("n_tokens")).alias("topic"), "n_tokens")
+    rows = mixing.with_topics(_table(spark, sf_dir, "documents"), [F.col("doc_id"), F.col("lang"), F.col("source")])
     return mixing.mix(save(rows, "mix-rows"), MIX_DIMS)
 
 
@@ -47,8 +46,12 @@ MIX_ROUNDS, MIX_POWER = 8, 0.7
 def mixing_sql() -> str:
     """The same fit, one common table a margin and round."""
     steps = [
-        r"rows AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, coalesce(text, '') AS text FROM documents)",
-        "docs AS (SELECT doc_id, lang, source, n_tokens, CASE WHEN contains(text, ' | ') THEN 'table' WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 600 THEN 'article' ELSE 'book' END AS topic FROM rows)",
+        r"rows AS (SELECT row_number() OVER () AS r, doc_id, lang, source, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)",
+        "df AS (SELECT w, count(*) AS n FROM (SELECT unnest(list_distinct(ws)) AS w FROM rows) GROUP BY w)",
+        f"anchors AS (SELECT w, k FROM (SELECT w, row_number() OVER (ORDER BY n DESC, w) AS k FROM df WHERE 10 * n <= (SELECT count(*) FROM rows)) WHERE k <= {mixing.TOPICS})",
+        "hits AS (SELECT r, w, k, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM rows) JOIN anchors USING (w) GROUP BY r, w, k)",
+        "best AS (SELECT r, arg_max(w, n * 1000 - k) AS topic FROM hits GROUP BY r)",
+        "docs AS (SELECT doc_id, lang, source, len(ws) AS n_tokens, coalesce(topic, 'other') AS topic FROM rows LEFT JOIN best USING (r))",
         "cells AS (SELECT coalesce(source, '') AS source, coalesce(lang, '') AS lang, topic, sum(n_tokens) AS tokens FROM docs GROUP BY ALL)",
     ]
     for d in MIX_DIMS:
@@ -131,30 +134,38 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-#: Rules of the URL query, and the names whose hosts are on its list of canonical URLs under each ending.
+#: Rules of the URL query, and the names whose hosts are on its list under each ending.
 URL_RULES = ["block com/en/", "allow example.com/en/7", "block net/de/", "block example.net/de/8", "block org/es/"]
 LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 LISTED_URLS = [f"{name}.example.{ending}/" for name in LISTED_NAMES for ending in ("com", "net", "org")]
 
 
+def _reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up part of the list that grows with the pages: the canonical URLs whose digest begins with 0, one in sixteen."""
+    host, path = url_filter.canonical(*url_filter.host_and_path(F.col("url")))
+    urls = _table(spark, sf_dir, "pages").select(host.alias("host"), path.alias("path")).where("host <> '' and startswith(md5(concat(host, path)), '0')").distinct()
+    return urls.select("host", "path", F.lit("block").alias("action"), F.lit(False).alias("is_rule"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page's URL."""
-    listed = url_filter.listing(spark, URL_RULES, [("block", key) for key in LISTED_URLS])
+    listed = url_filter.listing(spark, URL_RULES, [("block", key) for key in LISTED_URLS]).unionByName(_reported(spark, sf_dir))
     return url_filter.judge(_table(spark, sf_dir, "pages"), listed)
 
 
 _RULE_ROWS = ", ".join("('{}', '{}', '{}')".format(*rule.split(" ")[1].split("/", 1), rule.split(" ")[0]) for rule in URL_RULES)
-_LIST_ROWS = ", ".join(f"('{key[:-1]}')" for key in LISTED_URLS)
+_LIST_ROWS = ", ".join(f"('{key[:-1]}', '/')" for key in LISTED_URLS)
 URL_SQL = f"""
 WITH rules(host, path, action) AS (SELECT host, '/' || path, action FROM (VALUES {_RULE_ROWS}) AS r(host, path, action)),
-listed(host) AS (VALUES {_LIST_ROWS}),
 cut AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 parts AS (SELECT page_id, row_number() OVER () AS n,
   coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+canon AS (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '[.]$', '') AS ch, CASE WHEN path = '' THEN '/' ELSE regexp_replace(url_decode(replace(path, '+', '%2B')), '/+', '/', 'g') END AS cp FROM parts),
+listed AS (SELECT host, path FROM (VALUES {_LIST_ROWS}) AS l(host, path) UNION SELECT ch, cp FROM canon WHERE ch <> '' AND starts_with(md5(ch || cp), '0')),
 fits AS (SELECT p.n, r.host || r.path AS rule, r.action, row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC) AS k
   FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)),
-hits AS (SELECT DISTINCT p.n FROM parts p JOIN listed l ON (p.host = l.host OR p.host LIKE '%.' || l.host) AND starts_with(p.path, '/'))
+hits AS (SELECT DISTINCT p.n FROM canon p JOIN listed l ON (p.ch = l.host OR p.ch LIKE '%.' || l.host) AND (p.cp = l.path OR starts_with(p.cp, rtrim(l.path, '/') || '/')))
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, CASE WHEN h.n IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.k = 1 LEFT JOIN hits h ON h.n = p.n
 """
