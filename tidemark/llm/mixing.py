@@ -21,6 +21,7 @@ empty table gives an empty result; other columns are kept or ignored as asked.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,11 +52,13 @@ def topic_words(texts: DataFrame, *, text_col: str = "text", topics: int = TOPIC
     return [r.w for r in each.where(F.col("n") <= most).orderBy(F.desc("n"), "w").limit(topics).collect()]
 
 
-def topic_of(words: Column, topics: list[str]) -> Column:
-    """The topic word that is most often among ``words``, the first of equals, or ``other``."""
-    known = F.lit(topics) if topics else F.array().cast("array<string>")
-    held = F.filter(words, lambda w: F.array_contains(known, w))
-    of = lambda hits: F.array_max(F.transform(known, lambda t, i: F.struct(F.size(F.filter(hits, lambda h: h == t)).alias("n"), (-i).alias("first"), t.alias("t"))))
+def topic_of(text: Column, topics: list[str]) -> Column:
+    """The topic word that is most often among the words of ``text``, the first of equals, or ``other``."""
+    if not topics:
+        return F.lit("other")
+    words = "|".join(re.escape(t) for t in sorted(topics, key=len, reverse=True))
+    held = F.regexp_extract_all(text, F.lit(rf"(?<![^\x20\x09-\x0D])({words})(?![^\x20\x09-\x0D])"), F.lit(1))
+    of = lambda hits: F.array_max(F.transform(F.lit(topics), lambda t, i: F.struct(F.size(F.filter(hits, lambda h: h == t)).alias("n"), (-i).alias("first"), t.alias("t"))))
     best = F.get(F.transform(F.array(held), of), F.lit(0))
     return F.when(best["n"] > 0, best["t"]).otherwise("other")
 
@@ -63,8 +66,8 @@ def topic_of(words: Column, topics: list[str]) -> Column:
 def with_topics(docs: DataFrame, keep: list[Column], *, text_col: str = "text") -> DataFrame:
     """The columns ``keep``, ``topic`` and ``n_tokens`` of every row."""
     topics = topic_words(docs, text_col=text_col)
-    cut = docs.select(F.struct(*keep).alias("__keep"), words_of(F.col(text_col)).alias("__words"))
-    return cut.select("__keep.*", topic_of(F.col("__words"), topics).alias("topic"), F.size("__words").cast("bigint").alias("n_tokens"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.struct(*keep).alias("__keep"), topic_of(text, topics).alias("topic"), token_weight(F.col(text_col)).alias("n_tokens")).select("__keep.*", "topic", "n_tokens")
 
 
 def tempered_targets(cells: DataFrame, dims: list[str], power: float) -> DataFrame:
