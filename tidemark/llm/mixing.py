@@ -57,7 +57,7 @@ def topic_of(text: Column, topics: list[str]) -> Column:
     if not topics:
         return F.lit("other")
     words = "|".join(re.escape(t) for t in sorted(topics, key=len, reverse=True))
-    held = F.regexp_extract_all(text, F.lit(rf"(?<![^\x20\x09-\x0D])({words})(?![^\x20\x09-\x0D])"), F.lit(1))
+    held = F.regexp_extract_all(text, F.lit(rf"(?:^|[\x20\x09-\x0D])({words})(?![^\x20\x09-\x0D])"), F.lit(1))
     of = lambda hits: F.array_max(F.transform(F.lit(topics), lambda t, i: F.struct(F.size(F.filter(hits, lambda h: h == t)).alias("n"), (-i).alias("first"), t.alias("t"))))
     best = F.get(F.transform(F.array(held), of), F.lit(0))
     return F.when(best["n"] > 0, best["t"]).otherwise("other")
