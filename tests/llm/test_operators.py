@@ -483,6 +483,17 @@ def test_pipeline_stages_keep_their_promises(spark, sf):
     assert [r.doc_id for r in corpus_pipeline.run(spark, sf).orderBy("doc_id").collect()] == sorted(r.doc_id for r in docs.collect())
 
 
+def test_stages_keep_columns_of_any_name(spark, odd, tmp_path):
+    spark.createDataFrame([(4, 1), (9, 0)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    wide = corpus_pipeline.save(with_clashes(odd), "wide")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns if name != "SentencePiece" else out.count() == wide.count()
+        if name != "SentencePiece":
+            kept = [str(r) for r in out.collect()]
+            assert set(kept) <= {str(r) for r in wide.collect()} and (name != "n-gram Jaccard join" or len(kept) == len(set(kept)))
+
+
 def test_pipeline_on_odd_rows(spark, odd, tmp_path):
     settle(spark)
     odd.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
