@@ -103,28 +103,27 @@ def resolve(dentry: DataFrame, targets: DataFrame, asked: DataFrame, *, follow:
     link, and what is left of the path comes after it. All paths take their next step together, one join a step.
     """
     down = dentry.join(targets.select("inode", "target"), "inode", "left").select(F.col("parent").alias("at"), F.col("name").alias("part"), F.col("inode").alias("to"), F.col("type").alias("to_type"), "target")
+    down = keep(down, "entries")  # every step reads it
     paths = asked.select("path").distinct()
     columns = ["path", "parts", "at", "type", "i", "links"]
-    live = keep(paths.select("path", path_parts(F.col("path")).alias("parts"), F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"), F.lit(0).alias("links")), "resolve")
-    ends = F.col("i") >= F.size("parts")
-    verdict = F.when(F.col("links") >= max_links, "too many links").when(ends, "ok").when(F.coalesce("type", F.lit(0)) != 1, "not a directory")
-    done = None
+    verdict = F.when(F.col("links") >= max_links, "too many links").when(F.col("i") >= F.size("parts"), "ok").when(F.coalesce("type", F.lit(0)) != 1, "not a directory")
+    start = paths.select("path", path_parts(F.col("path")).alias("parts"), F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"), F.lit(0).alias("links"))
+    judged = keep(start.withColumn("outcome", verdict), "resolve")
+    done = judged.where("outcome is not null").select("path", F.when(F.col("outcome") == "ok", F.col("at")).alias("inode"), "outcome")
+    live = judged.where("outcome is null").select(*columns)
     while not live.isEmpty():  # ends with the longest path, or with the limit of links
-        judged = live.withColumn("outcome", verdict)
-        stopped = judged.where("outcome is not null").select("path", F.when(F.col("outcome") == "ok", F.col("at")).alias("inode"), "outcome")
-        step = judged.where("outcome is null").withColumn("part", F.get("parts", F.col("i"))).drop("outcome").join(down, ["at", "part"], "left")
+        step = live.withColumn("part", F.get("parts", F.col("i"))).join(down, ["at", "part"], "left")
         tail = F.col("i") + 1 == F.size("parts")
         jump = F.col("target").isNotNull() & (~tail | F.lit(follow))
         base = F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), F.col("i")), "/"))
         whole = F.concat_ws("/", F.when(~F.startswith("target", F.lit("/")), base), "target", F.array_join(F.slice("parts", F.col("i") + 2, F.size("parts")), "/"))
         after = F.when(jump, F.struct(path_parts(normal_path(whole)).alias("parts"), F.lit(ROOT).cast("bigint").alias("at"), F.lit(1).alias("type"), F.lit(0).alias("i"), (F.col("links") + 1).alias("links")))
         after = after.otherwise(F.struct("parts", F.col("to").alias("at"), F.col("to_type").alias("type"), (F.col("i") + 1).alias("i"), "links"))
-        lost = step.where("to is null").select("path", F.lit(None).cast("bigint").alias("inode"), F.lit("missing").alias("outcome"))
-        moved = keep(step.where("to is not null").select("path", after.alias("s")).select("path", "s.*").select(*columns), "resolve")
-        ended = keep(stopped.unionByName(lost), "resolved")
-        done = ended if done is None else done.unionByName(ended)
-        live = moved
-    return done if done is not None else paths.select("path", F.lit(None).cast("bigint").alias("inode"), F.lit("").alias("outcome"))
+        moved = step.select("path", after.alias("s"), F.when(F.col("to").isNull(), "missing").alias("lost")).select("path", "s.*", "lost")
+        judged = keep(moved.select(*columns, F.coalesce("lost", verdict).alias("outcome")), "resolve")  # written once, whether a path ends or goes on
+        ended = judged.where("outcome is not null").select("path", F.when(F.col("outcome") == "ok", F.col("at")).alias("inode"), "outcome")
+        done, live = done.unionByName(ended), judged.where("outcome is null").select(*columns)
+    return done
 
 
 def names(dentry: DataFrame, asked: DataFrame) -> DataFrame:
