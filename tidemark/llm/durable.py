@@ -27,11 +27,11 @@ def folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return it read back from the shared folder."""
+def save(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once and return it read back from the shared folder; without ``compression`` as the session has it."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -104,6 +104,16 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.nda
     return keys[cuts], np.split(values, cuts[1:]) if len(cuts) else []
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes first, then all second bytes, ..., compressed: the high ones are mostly 0."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(blob, 4 * n), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.int32)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens) of every row.
 
@@ -122,7 +132,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                 asks = pa.array([[{"bucket": k, "tokens": v} for k, v in asked]], pa.list_(pa.struct([("bucket", pa.int32()), ("tokens", pa.list_(pa.string()))])))
                 none = np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [keep, lists(special, pa.int32()), lists([len(k) for k in kinds], pa.int32()), lists(np.concatenate([none, *kinds]), pa.int32()), lists(np.concatenate([none, *counts]), pa.int32()), asks],
+                    [keep, lists(special, pa.int32()), lists([len(k) for k in kinds], pa.int32()), *[pa.array([_pack(np.concatenate([none, *x]))], pa.binary()) for x in (kinds, counts)], asks],
                     names=["keep", "special", "kinds", "places", "counts", "asks"],
                 )
 
@@ -137,14 +147,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
         value = lambda c: part[c].combine_chunks().flatten()
         known = answers.sort_by("bucket")["pieces"].combine_chunks().flatten().to_numpy() if len(answers) else np.zeros(0, np.int32)
         kinds = value("kinds").to_numpy()
-        own = known[value("places").to_numpy()].astype(np.int64) * value("counts").to_numpy()
+        places, counts = (_unpack(part[c][0].as_py(), int(kinds.sum())) for c in ("places", "counts"))
+        own = known[places].astype(np.int64) * counts
         sums = np.bincount(np.repeat(np.arange(len(kinds)), kinds), own, minlength=len(kinds)).astype(np.int64)
         return pa.table([value("keep"), pa.array(sums + value("special").to_numpy())], names=["keep", "n_tokens"])
 
     rows = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")).alias("keep"), F.col(text_col).alias("text"))
     kind = rows.schema["keep"].dataType.simpleString()
-    schema = f"keep array<{kind}>, special array<int>, kinds array<int>, places array<int>, counts array<int>, asks array<struct<bucket:int,tokens:array<string>>>"
-    parts = save(rows.mapInArrow(cut, schema).select(F.monotonically_increasing_id().alias("part"), "*"), "token-parts")
+    schema = f"keep array<{kind}>, special array<int>, kinds array<int>, places binary, counts binary, asks array<struct<bucket:int,tokens:array<string>>>"
+    parts = save(rows.mapInArrow(cut, schema).select(F.monotonically_increasing_id().alias("part"), "*"), "token-parts", "zstd")
     asked = parts.select("part", F.explode("asks").alias("a")).select("part", "a.bucket", "a.tokens")
     answers = save(asked.groupBy("bucket").applyInArrow(answer, "part bigint, bucket int, pieces array<int>"), "token-answers")
     counted = parts.drop("asks").groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(total, f"keep {kind}, n_tokens bigint")
